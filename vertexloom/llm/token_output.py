@@ -9,7 +9,10 @@ parallel and skip stripes and row groups by that metadata.
 
 Every space before a character that isn't white space begins a new token of this byte-level
 vocabulary, so a text is encoded in pieces that start there, with a bounded memo of pieces seen
-before. A text with any other space is encoded whole.
+before. A text with any other space is encoded whole. A piece of Latin letters and ASCII without
+an apostrophe, an added token or double white space has a token's end wherever a letter stands next
+to another character, too: its parts are encoded alone, runs of letters by the library's model
+without the steps that only split a text.
 
 Defined cases: null and empty texts hold the end id alone; null ids come first; rows of one id are
 ordered by a hash of the text; other columns are not read; an empty table gives files without rows.
@@ -18,7 +21,9 @@ ordered by a hash of the text; other columns are not read; an empty table gives
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,23 +41,64 @@ class _OtherSpace(Exception):
     pass
 
 
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_PLAIN = re.compile(rf"(?!.*\s\s)[\x00-&(-\x7F{_LETTERS[6:]}]+", re.DOTALL)
+_WORD = re.compile(f"[{_LETTERS}]+")
+_ENDS = ".,;:!?%&$#*"
+_PARTS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+")
+
+
 class PieceIds(dict):
     """The ids, as little-endian unsigned 32-bit integers, of a space and what follows it."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.model = self.tokenizer.model
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        spelt = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.spelling = {c: spelt(chr(c))[0][0] for c in [0x20, *range(0xC0, 0x250)]}
+        self.others: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def letters(self, part: str) -> bytes:
+        if not part.isascii():
+            part = part.translate(self.spelling)
+        elif part[0] == " ":
+            part = self.spelling[0x20] + part[1:]
+        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+
+    def other(self, part: str) -> bytes:
+        ids = self.others.get(part)
+        if ids is None:
+            ids = self.encode(part)
+            if len(self.others) < self.most and len(part) <= 64:
+                self.others[part] = ids
+        return ids
+
+    def piece(self, piece: str) -> bytes:
+        word = piece.rstrip(_ENDS)
+        if word.isalpha() and (word.isascii() or _WORD.fullmatch(word)):
+            ids = self.letters(" " + word)
+            return ids if len(word) == len(piece) else ids + self.other(piece[len(word) :])
+        if not _PLAIN.fullmatch(piece) or any(t in piece for t in self.added):
+            return self.encode(" " + piece)
+        first, *rest = _PARTS.findall(piece)
+        ids = self.letters(" " + first) if first[0].isalpha() else self.other(" " + first)
+        for part in rest:
+            ids += self.letters(part) if part[0].isalpha() else self.other(part)
+        return ids
 
     def __missing__(self, piece: str) -> bytes:
         if not piece or piece[0].isspace():
             raise _OtherSpace
-        ids = self.encode(" " + piece)
+        ids = self.piece(piece)
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.clear()
