@@ -61,7 +61,9 @@ def _random(seed: int, n: int) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([[1], np.full(max(n, 1) - 1, base, np.uint64)]).astype(np.uint64))
+    factors = np.full(max(n, 1), base, np.uint64)
+    factors[0] = 1
+    return np.multiply.accumulate(factors)
 
 
 _BASE = 0x9E3779B97F4A7C15
