@@ -67,7 +67,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15
-_CACHED = SLICE_BYTES + 1
+_CACHED = 2 * SLICE_BYTES
 _cache: dict[str, np.ndarray] = {}
 
 
