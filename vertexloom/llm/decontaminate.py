@@ -9,7 +9,7 @@ position, and the removal spans of a document are merged.
 
 A stretch of words of the benchmark that is shorter than the shortest phrase can't hold an
 occurrence and is left out of the index; this loses nothing. Phrases reach the tasks in blocks of
-bounded size (``block_words``); the spans found for several blocks are merged by document.
+bounded size (``block_words``); the spans found for several blocks are merged.
 
 Defined cases: null and empty texts have no words, no spans and aren't contaminated; items whose
 text is null, empty or without words, or whose id is null, contribute nothing; repeated item ids
@@ -19,7 +19,6 @@ other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
@@ -210,11 +209,13 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, blo
 
 
 _SPAN = "array<struct<start: long, end: long>>"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _merged(spans: list[dict]) -> list[tuple[int, int]]:
+def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans, those that meet or overlap as one."""
     out: list[tuple[int, int]] = []
-    for start, end in sorted((s["start"], s["end"]) for s in spans):
+    for start, end in sorted(spans):
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
@@ -222,16 +223,16 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 2_000_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, block_words: int = 2_000_000, with_row: bool = False) -> DataFrame:
     """Return (id, n_words, n_hit, spans, items) for every document: the words, the words inside
     occurrences of a ``window`` of an item, their merged spans and the sorted ids of the items.
+    ``with_row`` adds the whole input row as the struct ``row``.
 
-    The documents are read once for each block of phrases, without a shuffle while one block
-    holds all phrases."""
-    rows = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("body"))
-    kind = rows.schema[id_col].dataType.simpleString()
+    One pass over the documents without a shuffle; each block of phrases is a step of it that adds
+    to what the steps before have found."""
+    more = [F.struct(*docs.columns).alias("row")] if with_row else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(_SPAN).alias("spans"), F.array().cast("array<string>").alias("items"), *more)
     context = docs.sparkSession.sparkContext
-    found = []
     for phrases in _blocks(benchmark, item_col, item_text_col, window, block_words):
         sent = context.broadcast(phrases)
 
@@ -239,31 +240,18 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             for batch in batches:
                 for shard in byte_slices(batch, "body", SHARD_BYTES):
                     counts, spans, items = find_spans(binary_texts(shard, "body"), sent.value)
-                    spans_out = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+                    earlier = [[(x["start"], x["end"]) for x in s] for s in shard.column(4).to_pylist()]
+                    spans = [merged(s + e) if e else s for s, e in zip(spans, earlier, strict=True)]
+                    items = [sorted({*i, *e}) for i, e in zip(items, shard.column(5).to_pylist(), strict=True)]
+                    spans_out = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPAN_TYPE)
                     hit = [sum(e - s for s, e in x) for x in spans]
-                    yield pa.RecordBatch.from_arrays([shard.column(0), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), spans_out, pa.array(items, pa.list_(pa.string()))], names=[id_col, "n_words", "n_hit", "spans", "items"])
-
-        found.append(rows.mapInArrow(search, f"`{id_col}` {kind}, n_words long, n_hit long, spans {_SPAN}, items array<string>"))
-    if len(found) == 1:
-        return found[0]
-    merge = F.udf(_merged, _SPAN)
-    all_found = found[0].withColumn("block", F.lit(0))
-    for block, more in enumerate(found[1:], 1):
-        all_found = all_found.unionByName(more.withColumn("block", F.lit(block)))
-    # Rows of one id that differ only in the block are the same document; repeated ids merge.
-    return (
-        all_found.groupBy(id_col)
-        .agg(F.max("n_words").alias("n_words"), merge(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .withColumn("n_hit", F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]))
-        .select(id_col, "n_words", "n_hit", "spans", "items")
-    )
+                    columns = [shard.column(0), shard.column(1), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), spans_out, pa.array(items, pa.list_(pa.string())), *shard.columns[6:]]
+                    yield pa.RecordBatch.from_arrays(columns, names=shard.schema.names)
+
+        rows = rows.mapInArrow(search, rows.schema)
+    return rows.select(F.col("id").alias(id_col), "n_words", "n_hit", "spans", "items", *(["row"] if with_row else []))
 
 
 def is_contaminated():
     """At least a twentieth of the words is hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
-
-
-def items_digest(items) -> str:
-    """sha256 of the comma-joined ids, as the query reports it."""
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, mixing, near_duplicates, quality, token_count, token_output, topk, toxicity
+from . import decontaminate, language, mixing, near_duplicates, quality, sharding, token_count, token_output, topk, toxicity
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scores = toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out=_fold(4) == 2)
     return scores.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
@@ -54,6 +58,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(table(spark, sf_dir, "documents"), held_out=_fold(5) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_duplicates": op1_near_duplicates,
@@ -62,10 +70,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality": op4_quality,
         "op5_token_ids": op5_token_ids,
         "op6_decontaminate": op6_decontaminate,
+        "op7_sharding": op7_sharding,
         "op8_toxicity": op8_toxicity,
         "op9_mixing": op9_mixing,
+        "op10_language": op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.ORACLE, "op9_mixing": mixing.ORACLE}
+    return {"op3_top_k": topk.ORACLE, "op7_sharding": sharding.ORACLE, "op9_mixing": mixing.ORACLE}

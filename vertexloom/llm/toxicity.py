@@ -167,11 +167,10 @@ def _model(known: DataFrame, settings: ToxicitySettings) -> tuple[np.ndarray, fl
     return (np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"]) if found else None
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, settings: ToxicitySettings = ToxicitySettings(), id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, settings: ToxicitySettings = ToxicitySettings(), id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", with_row: bool = False) -> DataFrame:
     """Return (id, held_out, score) for every row. ``held_out`` (over ``docs``) marks rows that are
-    not learned from."""
+    not learned from. ``with_row`` adds the whole input row as the struct ``row``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), held_out.alias("held_out"))
-    kind = rows.schema["id"].dataType.simpleString()
     marks = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).groupBy(F.col(label_id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     learnable = rows.where("NOT held_out AND id IS NOT NULL").select("id").distinct()
     order = F.xxhash64("id")
@@ -181,7 +180,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, settin
     model = _model(rows.where("NOT held_out").join(F.broadcast(chosen), "id").dropDuplicates(["id", "body"]), settings)
     discard(chosen)
     if model is None:
-        return rows.select(F.col("id").alias(id_col), "held_out", F.lit(0.0).alias("score"))
+        return docs.select(F.col(id_col), held_out.alias("held_out"), F.lit(0.0).alias("score"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), held_out.alias("held_out"), F.lit(0.0).alias("score"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,6 +192,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, settin
                 total = np.bincount(owner, weights[bucket] * weight, minlength=piece.num_rows)
                 count = np.bincount(owner, weight, minlength=piece.num_rows)
                 odds = total / (count + settings.padding) + bias
-                yield pa.RecordBatch.from_arrays([piece.column(0), piece.column(2), pa.array(1 / (1 + np.exp(-np.clip(odds, -50, 50))))], names=[id_col, "held_out", "score"])
+                chance = pa.array(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
+                yield pa.RecordBatch.from_arrays([*piece.columns[:3], chance, *piece.columns[4:]], names=piece.schema.names)
 
-    return rows.mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, score double")
+    return scored.mapInArrow(score, scored.schema).select(F.col("id").alias(id_col), "held_out", "score", *(["row"] if with_row else []))
