@@ -57,6 +57,10 @@ class Position:
         """The column that says which table a row comes from, where there are several."""
         return f"{self.alias}_t" if len(self.types) > 1 else None
 
+    @property
+    def table_name(self) -> Column:
+        return F.col(self.tag) if self.tag else F.lit(self.types[0].table)
+
     def overlaps(self, other: Position) -> bool:
         return bool({t.table for t in self.types} & {t.table for t in other.types})
 
@@ -87,15 +91,15 @@ class Fragment:
         return self.parent.joined().join(self.frame, self.on, "left")
 
 
-def distinct_guard(left: list[str], left_tag: str | None, right: list[str], right_tag: str | None) -> Column:
+def distinct_guard(a: Position, left: list[str], b: Position, right: list[str]) -> Column:
     """Two positions don't hold the same row. Keys of several columns are compared null-safely, as
-    a component may be null."""
+    a component may be null; rows of different tables are never the same."""
     if len(left) == 1:
         guard = F.col(left[0]) != F.col(right[0])
     else:
         guard = reduce(lambda a, b: a | b, [~F.col(x).eqNullSafe(F.col(y)) for x, y in zip(left, right, strict=True)])
-    if left_tag and right_tag:
-        guard = guard | (F.col(left_tag) != F.col(right_tag))
+    if a.tag or b.tag:
+        guard = guard | (a.table_name != b.table_name)
     return guard
 
 
@@ -203,12 +207,12 @@ class Matcher:
             fields = self._reach(position, level, fragment, hop, carried)
         for earlier, keys in fragment.positions:
             if earlier.overlaps(position):
-                fragment.frame = fragment.frame.where(distinct_guard(keys, earlier.tag, position.keys, position.tag))
+                fragment.frame = fragment.frame.where(distinct_guard(earlier, keys, position, position.keys))
         fragment.positions.append((position, position.keys))
         for ancestor, home in self._path:
             # The branch point is the fragment's first position, guarded above.
             if home is not fragment and ancestor is not fragment.branch_point and ancestor.overlaps(position):
-                fragment.on = fragment.on & distinct_guard(position.keys, position.tag, ancestor.keys, ancestor.tag)
+                fragment.on = fragment.on & distinct_guard(position, position.keys, ancestor, ancestor.keys)
         self.order += position.keys
         self._outputs += position.keys + [c for _, _, c in fields]
         matched = Matched(level, position, fields, fragment)
