@@ -76,3 +76,38 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     found = {r[0]: r[1] for r in connected_components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert found == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 130)}
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_blocks_and_brief_sets_lose_no_pair(spark, monkeypatch, block):
+    import vertexloom.llm.near_duplicates as n
+
+    monkeypatch.setattr(n, "BLOCK_NODES", block)
+    monkeypatch.setattr(n, "STAR_ROUNDS", 1)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(1, 4)):
+            copy[rng.randrange(40)] = f"x{rng.randrange(8)}"
+        rows.append((i, " ".join(copy)))
+    found = near_duplicates(documents(spark, rows), NearDuplicateSettings(shingle_words=4)).collect()
+    assert {r[0]: tuple(r[1:]) for r in found} == brute(rows, 4)
+
+
+def test_possible_links_hold_all_links():
+    import numpy as np
+
+    from vertexloom.llm.near_duplicates import brief, possible_links
+
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, 6000, np.uint64)
+    sets = [np.unique(np.concatenate([base[: 6000 - k], rng.integers(0, 2**64, k, np.uint64)])) for k in (0, 300, 1300, 700, 2000)] + [np.unique(base[:4000])]
+    sizes = np.array([len(s) for s in sets])
+    ok = possible_links([brief(s) for s in sets], sizes, 80)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            common = len(np.intersect1d(x, y))
+            if 100 * common >= 80 * (len(x) + len(y) - common):
+                assert ok[i, j]

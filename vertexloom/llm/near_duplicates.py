@@ -7,12 +7,14 @@ pair is a link if the full sets confirm it.
 
 Documents with the same set are one node, so exact copies never pair up. Within a band's bucket
 the nodes are compared with a centre first; buckets whose nodes are then in one component are
-settled, as further links can't change it. Where nodes of different components are left, other
-centres are tried, and in the end every pair across components is compared. So all that the bands
-propose is confirmed or already connected, without the pairs within a group of copies.
+settled, as further links can't change it. Nodes of different components that still share a bucket
+are compared in blocks of bounded size, by the products of small shingle matrices: each node
+travels once for each block that it meets, and only pairs that can be links come out, to be
+confirmed. So all that the bands propose is confirmed or already connected, without emitting the
+pairs within a group of copies.
 
-With 64 permutations in bands of 4, two sets of similarity 0.8 share no band with a probability of
-(1 - 0.8 ** 4) ** 32 = 5e-8.
+With 144 permutations in bands of 6, two sets of similarity 0.8 share no band with a probability of
+(1 - 0.8 ** 6) ** 48 = 5e-7.
 
 Defined cases: documents without words, or with a null text, have no shingles, are linked with
 nothing and kept; fewer words than a shingle has are one shingle; a null id is linked with nothing,
@@ -36,15 +38,17 @@ from .common import SPACED, binary_texts, byte_slices, discard, materialize
 from .components import connected_components
 
 SLICE_BYTES = 2 << 20
-STAR_ROUNDS = 4
+STAR_ROUNDS = 2
+BLOCK_NODES = 512
+MATRIX_COLUMNS = 8192
 
 
 @dataclass(frozen=True)
 class NearDuplicateSettings:
     shingle_words: int = 5
     similarity_percent: int = 80
-    permutations: int = 64
-    band_rows: int = 4
+    permutations: int = 144
+    band_rows: int = 6
     seed: int = 20
 
 
@@ -157,16 +161,45 @@ def _signatures(rows: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
 
 
 def _sets_of(rows: DataFrame, ids: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
-    """(id, shingles) of the documents named in ``ids``, the sets as bytes."""
+    """(id, shingles, brief) of the documents named in ``ids``, the sets as bytes."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in byte_slices(batch, "body", SLICE_BYTES):
                 found = shingle_sets(binary_texts(piece, "body"), settings.shingle_words)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
-
-    return rows.join(ids, "id", "left_semi").dropDuplicates(["id", "body"]).mapInArrow(sets, f"id {kind}, shingles binary")
+                briefs = [brief(s).tobytes() for s in found]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(briefs, pa.binary())], names=["id", "shingles", "brief"])
+
+    return rows.join(ids, "id", "left_semi").dropDuplicates(["id", "body"]).mapInArrow(sets, f"id {kind}, shingles binary, brief binary")
+
+
+def brief(shingles: np.ndarray) -> np.ndarray:
+    """A set of shorter hashes, 16 bits for usual sets."""
+    return np.unique((shingles >> np.uint64(32)).astype(np.uint32) if len(shingles) > 4096 else (shingles >> np.uint64(48)).astype(np.uint16))
+
+
+def possible_links(briefs: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs can be similar enough. Of the common shingles, at most as many as a set lost to
+    equal short hashes are missing from the common short hashes."""
+    widths = {b.dtype for b in briefs}
+    if len(widths) > 1:
+        briefs = [b if b.dtype == np.uint16 else np.unique((b >> np.uint32(16)).astype(np.uint16)) for b in briefs]
+    owner = np.repeat(np.arange(len(briefs)), [len(b) for b in briefs])
+    values, column, times = np.unique(np.concatenate(briefs), return_inverse=True, return_counts=True)
+    shared = times > 1
+    numbering = np.cumsum(shared) - 1
+    met = shared[column]
+    owner, column = owner[met], numbering[column[met]]
+    common = np.zeros((len(briefs), len(briefs)), np.float32)
+    for at in range(0, int(shared.sum()), MATRIX_COLUMNS):
+        here = (column >= at) & (column < at + MATRIX_COLUMNS)
+        matrix = np.zeros((len(briefs), min(MATRIX_COLUMNS, int(shared.sum()) - at)), np.float32)
+        matrix[owner[here], column[here] - at] = 1
+        common += matrix @ matrix.T
+    lost = sizes - np.array([len(b) for b in briefs])
+    most = common.astype(np.int64) + np.minimum(lost[:, None], lost[None, :])
+    return 100 * most >= percent * (sizes[:, None] + sizes[None, :] - most)
 
 
 def _close(n: Column, m: Column, settings: NearDuplicateSettings) -> Column:
@@ -213,11 +246,59 @@ def _to_centres(rows: DataFrame, settings: NearDuplicateSettings, round_: int) -
     return joined.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
 
 
-def _across(rows: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
-    """All pairs of nodes that share a bucket and are in different components."""
-    x, y = rows.alias("x"), rows.alias("y")
-    pairs = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.component") < F.col("y.component")) & _close(F.col("x.size"), F.col("y.size"), settings))
-    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+def _across(rows: DataFrame, sets: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
+    """The pairs of nodes that share a bucket, are in different components and can be links. A
+    bucket's nodes are dealt to blocks, and every two blocks meet in a group of their own."""
+    counts = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
+    dealt = rows.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["band", "lo", "hi"]
+    dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "size", "component")
+    dealt = dealt.join(sets.select(F.col("id").alias("node"), "brief"), "node").select(*key, "block", "node", "size", "component", "brief")
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            nodes, sizes = group.column(4), group.column(5).to_numpy()
+            components = group.column(6).dictionary_encode().indices.to_numpy()
+            blocks = group.column(3).to_numpy()
+            if components.max() == 0:
+                continue
+            raw = group.column(7).to_pylist()
+            briefs = [np.frombuffer(r, np.uint32 if n > 4096 else np.uint16) for r, n in zip(raw, sizes, strict=True)]
+            ok = possible_links(briefs, sizes, settings.similarity_percent) & (components[:, None] != components[None, :])
+            if group.column(1)[0] != group.column(2)[0]:  # two blocks: pairs within one are met elsewhere
+                ok &= blocks[:, None] != blocks[None, :]
+            x, y = np.nonzero(np.triu(ok, 1))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], names=["x", "y"])
+
+    found = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, f"x {kind}, y {kind}")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """The rows of each group of equal keys, from batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        if held and any(held[-1].column(i)[-1] != batch.column(i)[0] for i in range(keys)):
+            yield _one(held)
+            held = []
+        for start, end in zip([0, *change], [*change, batch.num_rows], strict=True):
+            held.append(batch.slice(start, end - start))
+            if end < batch.num_rows:
+                yield _one(held)
+                held = []
+    if held:
+        yield _one(held)
+
+
+def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
 def _cross_pairs(rows: DataFrame) -> tuple[int, int]:
@@ -249,7 +330,7 @@ def near_duplicates(docs: DataFrame, settings: NearDuplicateSettings = NearDupli
             if n == 0:
                 break
         last = round_ and (cross <= 2 * n or round_ == STAR_ROUNDS)
-        pairs = _across(open_rows, settings) if last else _to_centres(open_rows, settings, round_)
+        pairs = _across(open_rows, sets, settings) if last else _to_centres(open_rows, settings, round_)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
