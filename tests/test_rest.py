@@ -13,6 +13,7 @@ from vertexloom.operators.constraints import constraint_report, dangling_edges,
 from vertexloom.operators.drift import drift
 from vertexloom.operators.evolve import evolve, inverse
 from vertexloom.plans.graph import Check, Column, EdgeElement, PropertyGraph, VertexType
+from vertexloom.sources.catalog import Change, changes, create_tables, rewrite_table
 from vertexloom.sources.sinks import markdown_head, markdown_rows, write_objects
 from vertexloom.sources.tables import Tables
 
@@ -94,6 +95,25 @@ def test_evolve(spark):
         evolve(made.withColumn("old", F.lit(1)), kind)
 
 
+def test_tables_in_the_catalog(spark):
+    kind = VertexType("A", "vl_a", ("id",), {"n": "n"}, columns={"id": Column("bigint"), "n": Column("string")})
+    for t in ("vl_a", "vl_a2"):
+        spark.sql(f"DROP TABLE IF EXISTS {t}")
+    try:
+        assert create_tables(spark, PropertyGraph([kind])) == ["vl_a"]
+        assert create_tables(spark, PropertyGraph([kind])) == []
+        spark.sql("INSERT INTO vl_a VALUES (1, '7')")
+        new = VertexType("A", "vl_a", ("id",), {"m": "m"}, columns={"id": Column("bigint"), "m": Column("int", renamed_from="n"), "x": Column("string", default="'d'")})
+        assert changes(spark.table("vl_a"), new) == [Change("add", "x", "string"), Change("rename", "m", "n"), Change("retype", "m", "string to int")]
+        assert [tuple(r) for r in rewrite_table(spark, new, "vl_a2").collect()] == [(1, 7, "d")]
+        assert changes(spark.table("vl_a2"), new) == []
+        with pytest.raises(GraphError):
+            rewrite_table(spark, new, "vl_a2")
+    finally:
+        for t in ("vl_a", "vl_a2"):
+            spark.sql(f"DROP TABLE IF EXISTS {t}")
+
+
 def test_functions(spark):
     calls = Functions(spark)
 

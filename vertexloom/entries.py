@@ -11,6 +11,7 @@ from .commerce import GRAPH, tables
 from .functions.canonical import canonical
 from .functions.registry import rows
 from .operators.constraints import constraint_report, dangling_edges
+from .operators.describe import describe
 from .operators.evolve import evolve
 from .operators.match import match
 from .operators.respond import Responder
@@ -212,6 +213,10 @@ def markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_rows(match(GRAPH, tables(spark, sf_dir), L("Region", "name")))
 
 
+def described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe(spark, GRAPH, tables(spark, sf_dir))
+
+
 OTHERS: dict[str, tuple[Query, str | None]] = {
     "shaped_objects": (shaped_objects, None),
     "shaped_type_names": (shaped_type_names, "SELECT r_regionkey AS v0_k, '{\"__typename\":\"Region\",\"name\":\"' || r_name || '\"}' AS object FROM region"),
@@ -229,6 +234,7 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
         "SELECT 'customer' AS \"table\", x.* FROM (SELECT 'customer_c_custkey_key' AS \"constraint\", '23505' AS code, CAST(count(c_custkey) - count(DISTINCT c_custkey) AS BIGINT) AS broken FROM customer UNION ALL SELECT 'customer_c_name_unique', '23505', count(c_name) - count(DISTINCT c_name) FROM customer UNION ALL SELECT 'customer_balance_check', '23514', count(*) FILTER (c_acctbal <= -1000) FROM customer UNION ALL SELECT 'customer_solvent_check', '23514', count(*) FILTER (c_acctbal < 0) FROM customer UNION ALL SELECT 'customer_c_custkey_required', '23502', count(*) - count(c_custkey) FROM customer UNION ALL SELECT 'customer_c_name_required', '23502', count(*) - count(c_name) FROM customer) x",
     ),
     "dangling_edges": (dangling, None),
+    "describe_graph": (described, None),
     "evolve_table": (evolved, "SELECT CAST(n_nationkey AS BIGINT) AS nation_id, n_name AS label, true AS active, CAST(NULL AS VARCHAR) AS note, n_regionkey FROM nation"),
     "markdown_rows": (markdown, "SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS line FROM region"),
 }

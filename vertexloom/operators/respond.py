@@ -57,35 +57,31 @@ class Responder:
     def _list_column(self, matched: Matched) -> str:
         return f"{matched.position.alias}_list"
 
-    def _own(self, matched: Matched) -> list[str]:
-        tag = [matched.position.tag] if matched.position.tag else []
-        return [*matched.position.keys, *tag, *[c for _, _, c in matched.fields]]
-
-    def _level(self, matched: Matched, above: list[str]) -> DataFrame:
-        """One row for each path to the level: ``above``, its own columns, and a list for each
-        relationship."""
-        keep = [*above, *self._own(matched)]
-        if not matched.children:
-            return self._source(matched).select(*keep).distinct()
+    @staticmethod
+    def _keys(matched: Matched) -> list[str]:
+        return [*matched.position.keys, *([matched.position.tag] if matched.position.tag else [])]
+
+    def _level(self, matched: Matched, keys: list[str], fields: list[str]) -> DataFrame:
+        """One row for each path to the level: the ``keys`` and ``fields`` above it, its own, and a
+        list for each relationship. Fields follow from keys, so rows are grouped by keys alone."""
+        keys, fields = [*keys, *self._keys(matched)], [*fields, *[c for _, _, c in matched.fields]]
         if len(matched.children) == 1:
-            child = matched.children[0]
-            return self._aggregated(child, keep)
-        rows = self._source(matched).select(*keep).distinct()
+            return self._aggregated(matched.children[0], keys, fields)
+        rows = self._source(matched).groupBy(*keys).agg(*[F.first(c).alias(c) for c in fields]) if fields else self._source(matched).select(*keys).distinct()
         for child in matched.children:
-            keys = self._path_keys(matched)
-            lists = self._aggregated(child, keys)
-            renamed = lists.select(*[F.col(k).alias(f"{k}_of") for k in keys], self._list_column(child))
-            on = [F.col(k) == F.col(f"{k}_of") for k in keys]
-            rows = rows.join(renamed, on, "left").drop(*[f"{k}_of" for k in keys])
+            lists = self._aggregated(child, self._path_keys(matched), [])
+            renamed = lists.select(*[F.col(k).alias(f"{k}_of") for k in self._path_keys(matched)], self._list_column(child))
+            on = [F.col(k) == F.col(f"{k}_of") for k in self._path_keys(matched)]
+            rows = rows.join(renamed, on, "left").drop(*[f"{k}_of" for k in self._path_keys(matched)])
         return rows
 
     def _path_keys(self, matched: Matched) -> list[str]:
-        path = self._paths[id(matched)]
-        return [c for m in path for c in (*m.position.keys, *([m.position.tag] if m.position.tag else []))]
+        return [c for m in self._paths[id(matched)] for c in self._keys(m)]
 
-    def _aggregated(self, child: Matched, group: list[str]) -> DataFrame:
-        rows = self._level(child, group)
-        return rows.groupBy(*group).agg(_listed(child.position.keys, self._value(child, rows)).alias(self._list_column(child)))
+    def _aggregated(self, child: Matched, keys: list[str], fields: list[str]) -> DataFrame:
+        rows = self._level(child, keys, fields)
+        listed = _listed(child.position.keys, self._value(child, rows)).alias(self._list_column(child))
+        return rows.groupBy(*keys).agg(*[F.first(c).alias(c) for c in fields], listed)
 
     def _value(self, matched: Matched, rows: DataFrame) -> Column:
         """The level's object as JSON text, its keys in order."""
@@ -114,7 +110,7 @@ class Responder:
                 walk(c, [*path, m])
 
         walk(root, [])
-        rows = self._level(root, [])
+        rows = self._level(root, [], [])
         return rows.where(_present(root.position.keys)).select(*root.position.keys, self._value(root, rows).alias("object"))
 
     def response(self) -> DataFrame:
