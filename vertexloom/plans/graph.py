@@ -114,7 +114,7 @@ class PropertyGraph:
             if both := set(v.fields) & set(v.relationships):
                 raise GraphError(f"{v.name}.{min(both)} is a field and a relationship")
             for c in (c for group in v.unique for c in group):
-                if c not in columns and c not in v.key:
+                if c not in columns and c not in v.key and c not in v.columns:
                     raise GraphError(f"{v.name}: unique names the unknown column {c}")
             for name, declared in v.columns.items():
                 if declared.renamed_from in v.columns:
