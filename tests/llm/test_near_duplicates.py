@@ -79,11 +79,11 @@ def test_components_of_chains_and_stars(spark):
 
 
 @pytest.mark.parametrize("block", [3, 512])
-def test_blocks_and_brief_sets_lose_no_pair(spark, monkeypatch, block):
+def test_blocks_lose_no_pair(spark, monkeypatch, block):
     import vertexloom.llm.near_duplicates as n
 
     monkeypatch.setattr(n, "BLOCK_NODES", block)
-    monkeypatch.setattr(n, "STAR_ROUNDS", 1)
+    monkeypatch.setattr(n, "BLOCK_SHINGLES", block * 1000)
     rng = random.Random(8)
     base = [f"w{i}" for i in range(40)]
     rows = []
@@ -96,18 +96,19 @@ def test_blocks_and_brief_sets_lose_no_pair(spark, monkeypatch, block):
     assert {r[0]: tuple(r[1:]) for r in found} == brute(rows, 4)
 
 
-def test_possible_links_hold_all_links():
+def test_links_within_a_block():
     import numpy as np
 
-    from vertexloom.llm.near_duplicates import brief, possible_links
+    from vertexloom.llm.near_duplicates import joined_labels, links_within
 
     rng = np.random.default_rng(2)
-    base = rng.integers(0, 2**64, 6000, np.uint64)
-    sets = [np.unique(np.concatenate([base[: 6000 - k], rng.integers(0, 2**64, k, np.uint64)])) for k in (0, 300, 1300, 700, 2000)] + [np.unique(base[:4000])]
-    sizes = np.array([len(s) for s in sets])
-    ok = possible_links([brief(s) for s in sets], sizes, 80)
+    base = rng.integers(0, 2**64, 20000, np.uint64)
+    sets = [np.unique(np.concatenate([base[: 20000 - k], rng.integers(0, 2**64, k, np.uint64)])) for k in (0, 1000, 4300, 2300, 7000)] + [np.unique(base[:13000]), rng.integers(0, 2**64, 3, np.uint64)]
+    ok = links_within(sets, 80)
     for i, x in enumerate(sets):
         for j, y in enumerate(sets):
             common = len(np.intersect1d(x, y))
-            if 100 * common >= 80 * (len(x) + len(y) - common):
-                assert ok[i, j]
+            assert i == j or ok[i, j] == (100 * common >= 80 * (len(x) + len(y) - common))
+    linked = np.zeros((6, 6), bool)
+    linked[0, 3] = linked[4, 1] = linked[1, 5] = True
+    assert joined_labels(np.array([2, 2, 1, 1, 3, 0]), linked | linked.T).tolist() == [0, 1, 1, 0]

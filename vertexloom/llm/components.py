@@ -13,17 +13,27 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 
+def _to_least(edges: DataFrame) -> DataFrame:
+    """(u, v, m): every edge with the smallest neighbour of u, or u if that is smaller."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return edges.join(least, "u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return _to_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    joined = edges.join(least, "u")
-    moved = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
+    moved = F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
+    return _to_least(edges).select(moved.alias("e")).select("e.u", "e.v").where("u != v").distinct()
+
+
+def _is_settled(edges: DataFrame) -> bool:
+    """Every vertex has one edge to a smaller one, or is such a smaller one only."""
+    ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("root")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("root"))))
+    by_vertex = edges.select(ends.alias("e")).select("e.*").groupBy("x").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+    return by_vertex.agg(F.count_if((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("root") > 0)))).first()[0] == 0
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -31,12 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component is the smallest vertex that can be reached."""
     a, b = edges.columns
     stars = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct(), "edges")
-    state = None
-    while True:
-        new = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == state or new[0] == 0:
-            break
-        state = new
+    while not _is_settled(stars):
         following = materialize(_small_star(_large_star(stars)), "edges")
         discard(stars)
         stars = following

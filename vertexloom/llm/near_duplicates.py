@@ -6,12 +6,13 @@ given length takes half the hash evaluations. Bands of minima and bands of maxim
 pair is a link if the full sets confirm it.
 
 Documents with the same set are one node, so exact copies never pair up. Within a band's bucket
-the nodes are compared with a centre first; buckets whose nodes are then in one component are
-settled, as further links can't change it. Nodes of different components that still share a bucket
-are compared in blocks of bounded size, by the products of small shingle matrices: each node
-travels once for each block that it meets, and only pairs that can be links come out, to be
-confirmed. So all that the bands propose is confirmed or already connected, without emitting the
-pairs within a group of copies.
+every node is compared with the bucket's smallest node first; a node is labelled with the smallest
+one that it is linked to, and that one's label. Buckets whose nodes then have one label are settled,
+as further links can't change their component. The nodes of the other buckets are compared in
+blocks of bounded size, by the products of small matrices of full sets: each node travels once for
+each block that it meets, and what comes out are the labels that links join, not the pairs. So all
+that the bands propose is confirmed or already connected, without emitting the pairs within a group
+of copies.
 
 With 144 permutations in bands of 6, two sets of similarity 0.8 share no band with a probability of
 (1 - 0.8 ** 6) ** 48 = 5e-7.
@@ -38,8 +39,9 @@ from .common import SPACED, binary_texts, byte_slices, discard, materialize
 from .components import connected_components
 
 SLICE_BYTES = 2 << 20
-STAR_ROUNDS = 2
 BLOCK_NODES = 512
+BLOCK_SHINGLES = 1 << 19
+LABEL_STEPS = 2
 MATRIX_COLUMNS = 8192
 
 
@@ -161,45 +163,55 @@ def _signatures(rows: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
 
 
 def _sets_of(rows: DataFrame, ids: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
-    """(id, shingles, brief) of the documents named in ``ids``, the sets as bytes."""
+    """(id, shingles) of the documents named in ``ids``, the sets as bytes."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in byte_slices(batch, "body", SLICE_BYTES):
                 found = shingle_sets(binary_texts(piece, "body"), settings.shingle_words)
-                briefs = [brief(s).tobytes() for s in found]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array(briefs, pa.binary())], names=["id", "shingles", "brief"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
 
-    return rows.join(ids, "id", "left_semi").dropDuplicates(["id", "body"]).mapInArrow(sets, f"id {kind}, shingles binary, brief binary")
+    return rows.join(ids, "id", "left_semi").dropDuplicates(["id", "body"]).mapInArrow(sets, f"id {kind}, shingles binary")
 
 
-def brief(shingles: np.ndarray) -> np.ndarray:
-    """A set of shorter hashes, 16 bits for usual sets."""
-    return np.unique((shingles >> np.uint64(32)).astype(np.uint32) if len(shingles) > 4096 else (shingles >> np.uint64(48)).astype(np.uint16))
-
-
-def possible_links(briefs: list[np.ndarray], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """Which pairs can be similar enough. Of the common shingles, at most as many as a set lost to
-    equal short hashes are missing from the common short hashes."""
-    widths = {b.dtype for b in briefs}
-    if len(widths) > 1:
-        briefs = [b if b.dtype == np.uint16 else np.unique((b >> np.uint32(16)).astype(np.uint16)) for b in briefs]
-    owner = np.repeat(np.arange(len(briefs)), [len(b) for b in briefs])
-    values, column, times = np.unique(np.concatenate(briefs), return_inverse=True, return_counts=True)
-    shared = times > 1
-    numbering = np.cumsum(shared) - 1
+def links_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which pairs of different sets are similar enough, as a square matrix."""
+    sizes = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    values = np.concatenate(sets)
+    order = np.argsort(values, kind="stable")
+    owner, values = owner[order], values[order]
+    fresh = np.concatenate([[True], values[1:] != values[:-1]])
+    column = np.cumsum(fresh) - 1
+    shared = np.bincount(column) > 1
     met = shared[column]
-    owner, column = owner[met], numbering[column[met]]
-    common = np.zeros((len(briefs), len(briefs)), np.float32)
-    for at in range(0, int(shared.sum()), MATRIX_COLUMNS):
-        here = (column >= at) & (column < at + MATRIX_COLUMNS)
-        matrix = np.zeros((len(briefs), min(MATRIX_COLUMNS, int(shared.sum()) - at)), np.float32)
-        matrix[owner[here], column[here] - at] = 1
+    owner, column = owner[met], (np.cumsum(shared) - 1)[column[met]]
+    width = int(shared.sum())
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    bounds = np.searchsorted(column, np.arange(0, width + MATRIX_COLUMNS, MATRIX_COLUMNS))
+    for at, (low, high) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+        matrix = np.zeros((len(sets), min(MATRIX_COLUMNS, width - at * MATRIX_COLUMNS)), np.float32)
+        matrix[owner[low:high], column[low:high] - at * MATRIX_COLUMNS] = 1
         common += matrix @ matrix.T
-    lost = sizes - np.array([len(b) for b in briefs])
-    most = common.astype(np.int64) + np.minimum(lost[:, None], lost[None, :])
-    return 100 * most >= percent * (sizes[:, None] + sizes[None, :] - most)
+    common = common.astype(np.int64)
+    return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
+
+
+def joined_labels(labels: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """For every label (0, 1, ...), the smallest label that links between its nodes and others reach."""
+    n = labels.max() + 1
+    meets = np.zeros((n, n), bool)
+    x, y = np.nonzero(linked)
+    meets[labels[x], labels[y]] = True
+    root = np.arange(n)
+    while True:
+        lowest = np.where(meets, root[None, :], n).min(axis=1)
+        following = np.minimum(root, lowest)
+        following = following[following]
+        if (following == root).all():
+            return root
+        root = following
 
 
 def _close(n: Column, m: Column, settings: NearDuplicateSettings) -> Column:
@@ -224,57 +236,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, settings: NearDuplicateSetting
 
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("left_set"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("right_set"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set").mapInArrow(confirm, f"a {kind}, b {kind}").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set").mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """The members of the buckets that hold more than one component, with their components."""
-    if labels is None:
-        return members.withColumn("component", F.col("node"))
-    known = labels.select(F.col("vertex").alias("node"), "component")
-    rows = members.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_bands = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    return rows.join(open_bands, "band", "left_semi")
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): the smallest node that links reach in a few steps. Nodes of one label are
+    connected; nodes of different labels may be."""
+    labels = materialize(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "labels")
+    out = labels
+    for _ in range(LABEL_STEPS):
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        out = out.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    return out
 
 
-def _to_centres(rows: DataFrame, settings: NearDuplicateSettings, round_: int) -> DataFrame:
-    """Pairs of each bucket's centre with the bucket's nodes in other components. The first centre
-    is the smallest node, later ones are drawn by a hash."""
-    order = F.col("node") if round_ == 0 else F.xxhash64(F.col("node"), F.col("band"), F.lit(round_))
-    centres = rows.groupBy("band").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("c"), F.col("size").alias("c_size"), F.col("component").alias("c_component"))).alias("x")).select("band", "x.*")
-    joined = rows.join(centres, "band").where((F.col("component") != F.col("c_component")) & _close(F.col("size"), F.col("c_size"), settings))
-    return joined.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+def _open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the buckets that hold more than one label, with their labels."""
+    rows = members.select("band", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    open_bands = rows.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.sum("size").alias("total")).where("least < most")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("total") / BLOCK_SHINGLES)).cast("int")
+    return rows.join(open_bands.select("band", blocks.alias("blocks")), "band")
 
 
 def _across(rows: DataFrame, sets: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
-    """The pairs of nodes that share a bucket, are in different components and can be links. A
-    bucket's nodes are dealt to blocks, and every two blocks meet in a group of their own."""
-    counts = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_NODES).cast("int").alias("blocks"))
-    dealt = rows.join(counts, "band").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """Pairs of labels that links between nodes of a bucket join. A bucket's nodes are dealt to
+    blocks, and every two blocks meet in a group of their own."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["band", "lo", "hi"]
-    dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "node", "size", "component")
-    dealt = dealt.join(sets.select(F.col("id").alias("node"), "brief"), "node").select(*key, "block", "node", "size", "component", "brief")
+    dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label")
+    dealt = dealt.join(sets.select(F.col("id").alias("node"), "shingles"), "node").select(*key, "label", "shingles")
     kind = rows.schema["node"].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
-            nodes, sizes = group.column(4), group.column(5).to_numpy()
-            components = group.column(6).dictionary_encode().indices.to_numpy()
-            blocks = group.column(3).to_numpy()
-            if components.max() == 0:
+            names = group.column(3).dictionary_encode()
+            if len(names.dictionary) == 1:
                 continue
-            raw = group.column(7).to_pylist()
-            briefs = [np.frombuffer(r, np.uint32 if n > 4096 else np.uint16) for r, n in zip(raw, sizes, strict=True)]
-            ok = possible_links(briefs, sizes, settings.similarity_percent) & (components[:, None] != components[None, :])
-            if group.column(1)[0] != group.column(2)[0]:  # two blocks: pairs within one are met elsewhere
-                ok &= blocks[:, None] != blocks[None, :]
-            x, y = np.nonzero(np.triu(ok, 1))
-            if len(x):
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(x)), nodes.take(pa.array(y))], names=["x", "y"])
+            full = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column(4)]
+            root = joined_labels(names.indices.to_numpy(), links_within(full, settings.similarity_percent))
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            if len(moved):
+                yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(moved)), names.dictionary.take(pa.array(root[moved]))], names=["a", "b"])
 
-    found = dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, f"x {kind}, y {kind}")
-    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
@@ -301,13 +306,6 @@ def _one(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
     return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
 
 
-def _cross_pairs(rows: DataFrame) -> tuple[int, int]:
-    """The members of ``rows`` and, at most, the pairs across components."""
-    by = rows.groupBy("band", "component").count().groupBy("band").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("own"))
-    members, pairs = by.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("own")) / 2)).first()
-    return int(members or 0), int(pairs or 0)
-
-
 def near_duplicates(docs: DataFrame, settings: NearDuplicateSettings = NearDuplicateSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return (id, n_shingles, component_id, kept) for every row; ``kept`` marks the document of
     each component whose id is the smallest."""
@@ -317,30 +315,18 @@ def near_duplicates(docs: DataFrame, settings: NearDuplicateSettings = NearDupli
     linkable = signed.where("n_shingles > 0 AND id IS NOT NULL")
     nodes = materialize(linkable.groupBy(*key).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").count().where("count > 1").select("band")
-    members = materialize(banded.join(shared, "band", "left_semi"), "members")
+    centre = F.min(F.struct("node", "size")).alias("centre")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), centre).where("n > 1")
+    members = materialize(banded.join(shared.select("band", F.col("centre.node").alias("c"), F.col("centre.size").alias("c_size")), "band"), "members")
     sets = materialize(_sets_of(rows, members.select(F.col("node").alias("id")).distinct(), settings), "sets")
 
-    labels, tested, links = None, None, None
-    for round_ in range(STAR_ROUNDS + 1):
-        open_rows = _labelled(members, labels)
-        if round_:
-            open_rows = materialize(open_rows, "open")
-            n, cross = _cross_pairs(open_rows)
-            if n == 0:
-                break
-        last = round_ and (cross <= 2 * n or round_ == STAR_ROUNDS)
-        pairs = _across(open_rows, sets, settings) if last else _to_centres(open_rows, settings, round_)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = materialize(_confirmed(pairs, sets, settings), "links")
-        links = found if links is None else links.union(found)
-        labels = materialize(connected_components(links), "labels")
-        if last:
-            break
-    discard(sets, members)
+    to_centres = members.where((F.col("node") != F.col("c")) & _close(F.col("size"), F.col("c_size"), settings))
+    links = materialize(_confirmed(to_centres.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), sets, settings), "links")
+    labels = materialize(_labels(links), "labels")
+    across = _across(_open_rows(members, labels), sets, settings)
+    edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across)
+    labels = materialize(connected_components(edges), "components")
+    discard(sets, members, links)
 
     named = nodes.select(*key, "node").join(labels.select(F.col("vertex").alias("node"), "component"), "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     out = signed.select("id", *key).join(named, key, "left")
