@@ -2,8 +2,8 @@
 
 Documents are range-partitioned and sorted by id, each text is encoded as a whole, an end id is
 appended, and every partition is written as one ORC file of a row per document: ``doc_id``,
-``part`` (the number of the file in id order), ``start_in_part`` (ids of the documents before it in
-the file) and ``ids``. ORC keeps the ids in stripes with integer run-length encoding, an index
+``part`` (the number of the file in id order), ``start_in_part`` and ``end_in_part`` (ids of the file
+before and up to its end) and ``ids``. ORC keeps the ids in stripes with integer run-length encoding, an index
 entry for every ``row_stride`` rows, and a Bloom filter on ``doc_id``; readers take stripes in
 parallel and skip stripes and row groups by that metadata.
 
@@ -25,6 +25,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(rf"(?!.*\s\s)[\x00-&(-\x7F{_LETTERS[6:]}]+", re.DOTALL)
 _WORD = re.compile(f"[{_LETTERS}]+")
 _ENDS = ".,;:!?%&$#*"
+_ID = attrgetter("id")
 _PARTS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+")
 
 
@@ -58,11 +60,12 @@ class PieceIds(dict):
 
         super().__init__()
         self.tokenizer, self.most = Tokenizer.from_file(path), most
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         spelt = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.spelling = {c: spelt(chr(c))[0][0] for c in [0x20, *range(0xC0, 0x250)]}
         self.others: dict[str, bytes] = {}
+        self.inners: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -72,7 +75,7 @@ class PieceIds(dict):
             part = part.translate(self.spelling)
         elif part[0] == " ":
             part = self.spelling[0x20] + part[1:]
-        return array("I", [t.id for t in self.model.tokenize(part)]).tobytes()
+        return array("I", map(_ID, self.tokenize(part))).tobytes()
 
     def other(self, part: str) -> bytes:
         ids = self.others.get(part)
@@ -82,23 +85,34 @@ class PieceIds(dict):
                 self.others[part] = ids
         return ids
 
+    def inner(self, part: str) -> bytes:
+        """Of letters that don't follow a space."""
+        ids = self.inners.get(part)
+        if ids is None:
+            ids = self.letters(part)
+            if len(self.inners) < self.most and len(part) <= 64:
+                self.inners[part] = ids
+        return ids
+
     def piece(self, piece: str) -> bytes:
         word = piece.rstrip(_ENDS)
         if word.isalpha() and (word.isascii() or _WORD.fullmatch(word)):
-            ids = self.letters(" " + word)
-            return ids if len(word) == len(piece) else ids + self.other(piece[len(word) :])
+            return self.letters(" " + word) if len(word) == len(piece) else self[word] + self.other(piece[len(word) :])
         if not _PLAIN.fullmatch(piece) or any(t in piece for t in self.added):
             return self.encode(" " + piece)
         first, *rest = _PARTS.findall(piece)
-        ids = self.letters(" " + first) if first[0].isalpha() else self.other(" " + first)
+        ids = self[first] if first[0].isalpha() else self.other(" " + first)
         for part in rest:
-            ids += self.letters(part) if part[0].isalpha() else self.other(part)
+            ids += self.inner(part) if part[0].isalpha() else self.other(part)
         return ids
 
     def __missing__(self, piece: str) -> bytes:
-        if not piece or piece[0].isspace():
+        if piece.isascii() and piece.isalpha():
+            ids = array("I", map(_ID, self.tokenize(self.spelling[0x20] + piece))).tobytes()
+        elif not piece or piece[0].isspace():
             raise _OtherSpace
-        ids = self.piece(piece)
+        else:
+            ids = self.piece(piece)
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.clear()
@@ -141,13 +155,14 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int
                 values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 n = len(ids)
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), pa.array(np.full(n, part, np.int32)), pa.array(start + ends[:-1], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
-                    names=["doc_id", "part", "start_in_part", "ids"],
+                    [piece.column(0), pa.array(np.full(n, part, np.int32)), pa.array(start + ends[:-1], pa.int64()), pa.array(start + ends[1:], pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)],
+                    names=["doc_id", "part", "start_in_part", "end_in_part", "ids"],
                 )
                 start += int(ends[-1])
 
-    encoded = ordered.mapInArrow(encode, f"doc_id {kind}, part int, start_in_part long, ids array<int>")
-    encoded.write.option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", str(row_stride)).option("orc.stripe.size", str(stripe_bytes)).option("orc.create.index", "true").orc(path)
+    encoded = ordered.mapInArrow(encode, f"doc_id {kind}, part int, start_in_part long, end_in_part long, ids array<int>")
+    # Run lengths leave little for a general compression to find, at several times the cost.
+    encoded.write.option("compression", "none").option("orc.bloom.filter.columns", "doc_id").option("orc.row.index.stride", str(row_stride)).option("orc.stripe.size", str(stripe_bytes)).option("orc.create.index", "true").orc(path)
     return path
 
 
@@ -155,7 +170,7 @@ def read_token_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids) of every document: ``start`` counts the ids of all documents before it."""
     rows = spark.read.orc(path)
     # A row for each file, so broadcasting it costs a few bytes a file.
-    sizes = rows.groupBy("part").agg(F.max(F.col("start_in_part") + F.size("ids")).alias("part_size"))
+    sizes = rows.groupBy("part").agg(F.max("end_in_part").alias("part_size"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = sizes.select(F.col("part").alias("part_no"), F.coalesce(F.sum("part_size").over(before), F.lit(0)).alias("part_start"))
     return rows.join(F.broadcast(parts), rows["part"] == parts["part_no"]).select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "ids")
