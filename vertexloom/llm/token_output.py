@@ -124,7 +124,8 @@ class PieceIds(dict):
             return b""
         first, *rest = text.split(" ")
         try:
-            return (self.encode(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+            begin = self.inner(first) if first.isascii() and first.isalpha() else self.encode(first)
+            return begin + b"".join(map(self.__getitem__, rest))
         except _OtherSpace:
             return self.encode(text)
 
