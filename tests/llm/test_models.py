@@ -153,3 +153,14 @@ def test_pipeline_of_stages(spark):
     last = corpus_pipeline.STAGES[-1][1](spark, seen, sf)
     assert last.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and last.count() == seen.count()
     assert corpus_pipeline.run(spark, sf).count() == last.count()
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    from vertexloom.llm import toxicity
+
+    rng = random.Random(3)
+    text = " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(400))
+    whole = toxicity.counted([text], ToxicitySettings())
+    monkeypatch.setattr(toxicity, "LONG_TEXT", 100)
+    for a, b in zip(whole, toxicity.counted([text], ToxicitySettings()), strict=True):
+        assert (a == b).all()

@@ -54,10 +54,15 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
-def byte_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
-    """Consecutive pieces of ``batch`` whose texts hold about ``most`` bytes at the utmost; a
-    longer text makes a piece of its own."""
-    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)
+def row_texts(batch: pa.RecordBatch, at: int | None) -> pa.Array:
+    """The texts of a batch: the column ``body``, or field ``at`` of the struct ``row``."""
+    return batch.column("body") if at is None else pc.struct_field(batch.column("row"), [at])
+
+
+def byte_slices(batch: pa.RecordBatch, column: str | pa.Array, most: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive pieces of ``batch`` whose texts (a column of it, or others by row) hold about
+    ``most`` bytes at the utmost; a longer text makes a piece of its own."""
+    lengths = pc.binary_length(batch.column(column) if isinstance(column, str) else column).fill_null(0).to_numpy(zero_copy_only=False)
     start = total = 0
     for i, n in enumerate(lengths):
         if i > start and total + n > most:
@@ -68,9 +73,9 @@ def byte_slices(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Re
         yield batch.slice(start)
 
 
-def binary_texts(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
+def binary_texts(batch: pa.RecordBatch, column: str | pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of a string column."""
-    return batch.column(column).cast(pa.binary()).to_pylist()
+    return (batch.column(column) if isinstance(column, str) else column).cast(pa.binary()).to_pylist()
 
 
 def words_table(separators: bytes) -> bytes:

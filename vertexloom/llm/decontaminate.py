@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHANUMERIC, binary_texts, byte_slices
+from .common import ALPHANUMERIC, binary_texts, byte_slices, row_texts
 
 SHARD_BYTES = 4 << 20
 SAMPLED_EVERY = 8
@@ -230,22 +230,24 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     One pass over the documents without a shuffle; each block of phrases is a step of it that adds
     to what the steps before have found."""
-    more = [F.struct(*docs.columns).alias("row")] if with_row else []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(_SPAN).alias("spans"), F.array().cast("array<string>").alias("items"), *more)
+    # A row travels once: its text is read from it.
+    at = docs.columns.index(text_col) if with_row else None
+    carried = F.struct(*docs.columns).alias("row") if with_row else F.col(text_col).alias("body")
+    rows = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(_SPAN).alias("spans"), F.array().cast("array<string>").alias("items"), carried)
     context = docs.sparkSession.sparkContext
     for phrases in _blocks(benchmark, item_col, item_text_col, window, block_words):
         sent = context.broadcast(phrases)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for shard in byte_slices(batch, "body", SHARD_BYTES):
-                    counts, spans, items = find_spans(binary_texts(shard, "body"), sent.value)
-                    earlier = [[(x["start"], x["end"]) for x in s] for s in shard.column(4).to_pylist()]
+                for shard in byte_slices(batch, row_texts(batch, at), SHARD_BYTES):
+                    counts, spans, items = find_spans(binary_texts(shard, row_texts(shard, at)), sent.value)
+                    earlier = [[(x["start"], x["end"]) for x in s] for s in shard.column("spans").to_pylist()]
                     spans = [merged(s + e) if e else s for s, e in zip(spans, earlier, strict=True)]
-                    items = [sorted({*i, *e}) for i, e in zip(items, shard.column(5).to_pylist(), strict=True)]
+                    items = [sorted({*i, *e}) for i, e in zip(items, shard.column("items").to_pylist(), strict=True)]
                     spans_out = pa.array([[{"start": s, "end": e} for s, e in x] for x in spans], _SPAN_TYPE)
                     hit = [sum(e - s for s, e in x) for x in spans]
-                    columns = [shard.column(0), shard.column(1), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), spans_out, pa.array(items, pa.list_(pa.string())), *shard.columns[6:]]
+                    columns = [shard.column("id"), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), spans_out, pa.array(items, pa.list_(pa.string())), shard.column(5)]
                     yield pa.RecordBatch.from_arrays(columns, names=shard.schema.names)
 
         rows = rows.mapInArrow(search, rows.schema)

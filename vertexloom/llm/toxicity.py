@@ -26,24 +26,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_slices, discard, materialize
+from .common import byte_slices, discard, materialize, row_texts
 from .near_duplicates import mixed
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
+LONG_TEXT = 1 << 18
 
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    lengths: tuple[int, ...] = (3, 4, 5)
+    lengths: tuple[int, ...] = (4, 5, 6)
     bucket_bits: int = 17
     width: int = 8
-    epochs: int = 6
+    epochs: int = 10
     batch: int = 64
     rate: float = 0.05
-    decay: float = 3e-4
-    padding: int = 100  # zero vectors in every average, so that a few n-grams don't decide alone
+    decay: float = 1e-3
+    padding: int = 600  # zero vectors in every average, so that a few n-grams don't decide alone
     most_documents: int = 6_000
-    least_documents: int = 5  # an n-gram in fewer labelled documents is left untrained
+    least_documents: int = 10  # an n-gram in fewer labelled documents is left untrained
     seed: int = 8
 
 
@@ -83,15 +84,32 @@ def bag(texts: list[str | None], settings: ToxicitySettings) -> tuple[np.ndarray
 
 
 def counted(texts: list[str | None], settings: ToxicitySettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, bucket, weight) of every distinct n-gram of every text. The weight is the root of the
-    count: a word said a thousand times isn't a thousand times as telling."""
+    """(text, bucket, count) of every distinct n-gram of every text."""
+    if len(texts) == 1 and len(texts[0] or "") > LONG_TEXT:
+        return _counted_in_parts(texts[0], settings)
     owner, bucket = bag(texts, settings)
     keys = (owner << settings.bucket_bits) + bucket
     keys.sort()
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     counts = np.diff(np.concatenate([first, [len(keys)]]))
     keys = keys[first]
-    return keys >> settings.bucket_bits, keys & ((1 << settings.bucket_bits) - 1), np.sqrt(counts)
+    return keys >> settings.bucket_bits, keys & ((1 << settings.bucket_bits) - 1), counts.astype(float)
+
+
+def _counted_in_parts(text: str, settings: ToxicitySettings) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one long text: its parts end between words and are counted one after the other. A word
+    longer than a part is cut."""
+    counts = np.zeros(1 << settings.bucket_bits, np.int64)
+    start = 0
+    while start < len(text):
+        end = start + LONG_TEXT
+        if end < len(text):
+            space = max(text.rfind(" ", start, end), text.rfind("\n", start, end))
+            end = space if space > start else end
+        counts += np.bincount(bag([text[start:end]], settings)[1], minlength=len(counts))
+        start = end
+    bucket = np.flatnonzero(counts)
+    return np.zeros(len(bucket), np.int64), bucket, counts[bucket].astype(float)
 
 
 def _bags(texts: list[str | None], settings: ToxicitySettings) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -181,18 +199,23 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, settin
     discard(chosen)
     if model is None:
         return docs.select(F.col(id_col), held_out.alias("held_out"), F.lit(0.0).alias("score"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), held_out.alias("held_out"), F.lit(0.0).alias("score"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
+    # A row travels once: its text is read from it.
+    at = docs.columns.index(text_col) if with_row else None
+    carried = F.struct(*docs.columns).alias("row") if with_row else F.col(text_col).alias("body")
+    given = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), carried)
+    scored = docs.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.lit(0.0).alias("score"), *([carried] if with_row else []))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = sent.value
         for batch in batches:
-            for piece in byte_slices(batch, "body", SLICE_BYTES):
-                owner, bucket, weight = counted(piece.column(1).to_pylist(), settings)
+            for piece in byte_slices(batch, row_texts(batch, at), SLICE_BYTES):
+                owner, bucket, weight = counted(row_texts(piece, at).to_pylist(), settings)
                 total = np.bincount(owner, weights[bucket] * weight, minlength=piece.num_rows)
                 count = np.bincount(owner, weight, minlength=piece.num_rows)
                 odds = total / (count + settings.padding) + bias
                 chance = pa.array(1 / (1 + np.exp(-np.clip(odds, -50, 50))))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], chance, *piece.columns[4:]], names=piece.schema.names)
+                yield pa.RecordBatch.from_arrays([*piece.columns[:2], chance, *([piece.column(2)] if with_row else [])], names=scored_names)
 
-    return scored.mapInArrow(score, scored.schema).select(F.col("id").alias(id_col), "held_out", "score", *(["row"] if with_row else []))
+    scored_names = scored.columns
+    return given.mapInArrow(score, scored.schema).select(F.col("id").alias(id_col), "held_out", "score", *(["row"] if with_row else []))
