@@ -43,7 +43,7 @@ class ToxicitySettings:
     rate: float = 0.05
     decay: float = 1e-3
     padding: int = 600  # zero vectors in every average, so that a few n-grams don't decide alone
-    most_documents: int = 6_000
+    most_documents: int = 4_000
     least_documents: int = 10  # an n-gram in fewer labelled documents is left untrained
     seed: int = 8
 
@@ -121,13 +121,16 @@ def _bags(texts: list[str | None], settings: ToxicitySettings) -> list[tuple[np.
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: ToxicitySettings) -> tuple[np.ndarray, float]:
     """Train embeddings and softmax together; return the weight of each bucket in the log-odds of
-    label 1, and their intercept."""
+    label 1, and their intercept. ``bags`` is used up."""
     random = np.random.default_rng(settings.seed)
     buckets = 1 << settings.bucket_bits
-    seen = np.bincount(np.concatenate([b for b, _ in bags] or [np.zeros(0, np.int32)]), minlength=buckets)
+    seen = np.zeros(buckets, np.int64)
+    for b, _ in bags:
+        seen[b] += 1
     common = seen >= min(settings.least_documents, max(1, len(bags) // 4))
-    numbering = np.cumsum(common) - 1
-    bags = [(numbering[b[common[b]]], c[common[b]] / (c.sum() + settings.padding)) for b, c in bags]
+    numbering = (np.cumsum(common) - 1).astype(np.int32)
+    for i, (b, c) in enumerate(bags):  # in place: what was read is given back as it goes
+        bags[i] = numbering[b[common[b]]], c[common[b]] / np.float32(c.sum() + settings.padding)
     size = int(common.sum())
     embeddings = random.normal(0, 0.1, (size, settings.width))
     softmax = random.normal(0, 0.1, (settings.width, 2))
@@ -172,9 +175,15 @@ def _model(known: DataFrame, settings: ToxicitySettings) -> tuple[np.ndarray, fl
                 yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([c.tobytes() for _, c in made], pa.binary()), piece.column(1), piece.column(2)], names=["b", "c", "y", "o"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted((row for batch in batches for row in batch.to_pylist()), key=lambda r: (r["o"], r["b"]))
-        made = [(np.frombuffer(r["b"], np.int32), np.frombuffer(r["c"], np.float32)) for r in rows if r["b"]]
-        labels = np.array([r["y"] for r in rows if r["b"]], np.int64)
+        rows = []
+        for batch in batches:
+            for b, c, y, o in zip(*batch.columns, strict=True):
+                if len(b.as_buffer()):
+                    rows.append((o.as_py(), b.as_py(), c.as_py(), y.as_py()))
+        rows.sort()
+        labels = np.array([r[3] for r in rows], np.int64)
+        made = [(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in rows]
+        del rows
         if len(made):
             weights, bias = train(made, labels, settings)
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
