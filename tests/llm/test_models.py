@@ -61,6 +61,24 @@ def test_unseen_misspellings_share_vectors(spark):
     assert found[1000] > 0.5 > found[1001]
 
 
+def test_rare_toxic_words_are_learned(spark):
+    """A tenth of a percent of toxic rows, and more labelled rows than the sample takes."""
+    rng = random.Random(2)
+    plain = ["table", "river", "green", "window", "walking", "house", "stone"]
+    rows = []
+    for i in range(9_000):
+        words = [rng.choice(plain) for _ in range(20)]
+        if i % 900 == 7:
+            words[rng.randrange(20)] = "vermin"
+        rows.append((i, " ".join(words)))
+    unseen = " ".join(rng.choice(plain) for _ in range(19))
+    docs = documents(spark, [*rows, (10_000, f"{unseen} vermin"), (10_001, f"{unseen} window")])
+    marks = spark.createDataFrame([(i, int("vermin" in t)) for i, t in rows], "doc_id int, toxic int")
+    found = {r["doc_id"]: r["score"] for r in toxicity_scores(docs, marks, F.col("doc_id") >= 10_000, ToxicitySettings(padding=0)).where("held_out").collect()}
+    assert found[10_000] > 0.3
+    assert found[10_001] < 0.01  # the odds are those of all labels, not of the sample
+
+
 def test_language_on_held_out_rows(spark):
     docs, _ = labelled(spark)
     found = languages(docs, fold(5) == 0).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")

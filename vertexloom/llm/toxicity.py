@@ -5,9 +5,12 @@ embeddings of the bag are averaged and a linear softmax turns the average into c
 probabilities; embeddings and softmax are trained jointly in numpy. A misspelt word still shares
 most n-grams with the word it comes from, and so their vectors.
 
-The labelled documents are a bounded sample (``most_documents``, the smallest hashes of the id),
-whose bags are made by all executors and trained on in one task. As the softmax is linear in the
-average, scoring needs one number for each bucket, and every whole text is scored where it lies.
+The labelled documents are a bounded sample (``most_documents``), chosen by label: toxic ones come
+first, up to ``toxic_share`` of the sample (more where the others don't fill the rest), each by the
+smallest hashes of the id; the intercept is set back to the odds of all labels. The bags are made
+by all executors and trained on in one task, which reads each mini-batch from a file of its own. As
+the softmax is linear in the average, scoring needs one number for each bucket, and every whole
+text is scored where it lies.
 
 Defined cases: null and empty texts, and texts without letters or digits, have an empty bag and
 get the share of toxic labels; labels that are null are ignored, of several labels of one id the
@@ -18,6 +21,9 @@ are not read.
 
 from __future__ import annotations
 
+import hashlib
+import math
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,8 +49,9 @@ class ToxicitySettings:
     rate: float = 0.05
     decay: float = 1e-3
     padding: int = 600  # zero vectors in every average, so that a few n-grams don't decide alone
-    most_documents: int = 4_000
-    least_documents: int = 10  # an n-gram in fewer labelled documents is left untrained
+    most_documents: int = 6_000
+    toxic_share: float = 0.5  # of the sample goes to toxic documents first
+    least_documents: int = 5  # an n-gram in fewer labelled documents is left untrained
     seed: int = 8
 
 
@@ -119,18 +126,53 @@ def _bags(texts: list[str | None], settings: ToxicitySettings) -> list[tuple[np.
     return [(bucket[a:b].astype(np.int32), count[a:b].astype(np.float32)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: ToxicitySettings) -> tuple[np.ndarray, float]:
+class SpilledBags:
+    """Bags in a temporary file of the task, which leaves no name behind; in memory are their
+    places and labels."""
+
+    def __init__(self) -> None:
+        self.file = tempfile.TemporaryFile()
+        self.places: list[tuple[int, bytes, int, int, int]] = []  # order, digest, start, length, label
+
+    def add(self, buckets: bytes, counts: bytes, label: int, order: int) -> None:
+        self.places.append((order, hashlib.md5(buckets + counts).digest(), self.file.tell(), len(buckets), label))
+        self.file.write(buckets)
+        self.file.write(counts)
+
+    def sort(self) -> None:
+        """An order that doesn't depend on how the bags arrived."""
+        self.places.sort(key=lambda p: (*p[:2], p[4]))
+
+    def labels(self) -> np.ndarray:
+        return np.array([p[4] for p in self.places], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.places)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        _, _, start, length, _ = self.places[i]
+        self.file.seek(start)
+        both = self.file.read(2 * length)
+        return np.frombuffer(both, np.int32, length // 4), np.frombuffer(both, np.float32, offset=length)
+
+
+def train(bags: SpilledBags, settings: ToxicitySettings) -> tuple[np.ndarray, float]:
     """Train embeddings and softmax together; return the weight of each bucket in the log-odds of
-    label 1, and their intercept. ``bags`` is used up."""
+    label 1, and their intercept."""
     random = np.random.default_rng(settings.seed)
+    labels = bags.labels()
     buckets = 1 << settings.bucket_bits
     seen = np.zeros(buckets, np.int64)
-    for b, _ in bags:
-        seen[b] += 1
+    for i in range(len(bags)):
+        seen[bags[i][0]] += 1
     common = seen >= min(settings.least_documents, max(1, len(bags) // 4))
     numbering = (np.cumsum(common) - 1).astype(np.int32)
-    for i, (b, c) in enumerate(bags):  # in place: what was read is given back as it goes
-        bags[i] = numbering[b[common[b]]], c[common[b]] / np.float32(c.sum() + settings.padding)
+
+    def averaged(i: int) -> tuple[np.ndarray, np.ndarray]:
+        b, c = bags[i]
+        known = common[b]
+        return numbering[b[known]], c[known] / np.float32(c.sum() + settings.padding)
+
     size = int(common.sum())
     embeddings = random.normal(0, 0.1, (size, settings.width))
     softmax = random.normal(0, 0.1, (settings.width, 2))
@@ -144,9 +186,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, setting
         order = random.permutation(len(bags))
         for at in range(0, len(order), settings.batch):
             chosen = order[at : at + settings.batch]
-            index = np.concatenate([bags[i][0] for i in chosen])
-            weight = np.concatenate([bags[i][1] for i in chosen]) * scale
-            owner = np.repeat(np.arange(len(chosen)), [len(bags[i][0]) for i in chosen])
+            batch = [averaged(i) for i in chosen]
+            index = np.concatenate([b for b, _ in batch])
+            weight = np.concatenate([c for _, c in batch]) * scale
+            owner = np.repeat(np.arange(len(chosen)), [len(b) for b, _ in batch])
             touched, local = np.unique(index, return_inverse=True)
             matrix = np.zeros((len(chosen), len(touched)))
             matrix[owner, local] = weight
@@ -175,25 +218,29 @@ def _model(known: DataFrame, settings: ToxicitySettings) -> tuple[np.ndarray, fl
                 yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([c.tobytes() for _, c in made], pa.binary()), piece.column(1), piece.column(2)], names=["b", "c", "y", "o"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
+        spilled = SpilledBags()
         for batch in batches:
             for b, c, y, o in zip(*batch.columns, strict=True):
                 if len(b.as_buffer()):
-                    rows.append((o.as_py(), b.as_py(), c.as_py(), y.as_py()))
-        rows.sort()
-        labels = np.array([r[3] for r in rows], np.int64)
-        made = [(np.frombuffer(r[1], np.int32), np.frombuffer(r[2], np.float32)) for r in rows]
-        del rows
-        if len(made):
-            weights, bias = train(made, labels, settings)
+                    spilled.add(b.as_py(), c.as_py(), y.as_py(), o.as_py())
+        spilled.sort()
+        if len(spilled):
+            weights, bias = train(spilled, settings)
             yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
 
     sample = known.select("body", "y", "o").mapInArrow(bags, "b binary, c binary, y int, o long")
-    # The sample is bounded by most_documents, so one task may hold its bags.
+    # The sample is bounded by most_documents, so one task may train on it.
     found = sample.repartition(1).mapInArrow(fit, "weights binary, bias double").collect()
     return (np.frombuffer(found[0]["weights"], np.float32), found[0]["bias"]) if found else None
 
 
+def _quotas(others: int, toxic: int, settings: ToxicitySettings) -> tuple[int, int]:
+    """How many documents of label 0 and of label 1 the sample takes."""
+    most = settings.most_documents
+    of_toxic = min(toxic, max(round(most * settings.toxic_share), most - others))
+    return min(others, most - of_toxic), of_toxic
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, settings: ToxicitySettings = ToxicitySettings(), id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", with_row: bool = False) -> DataFrame:
     """Return (id, held_out, score) for every row. ``held_out`` (over ``docs``) marks rows that are
     not learned from. ``with_row`` adds the whole input row as the struct ``row``."""
@@ -201,13 +248,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, settin
     marks = labels.where(F.col(label_col).isNotNull() & F.col(label_id_col).isNotNull()).groupBy(F.col(label_id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     learnable = rows.where("NOT held_out AND id IS NOT NULL").select("id").distinct()
     order = F.xxhash64("id")
-    chosen = marks.join(learnable, "id", "left_semi").orderBy(order, "id").limit(settings.most_documents)
-    chosen = materialize(chosen.select("id", "y", order.alias("o")), "labelled")
+    labelled = materialize(marks.join(learnable, "id", "left_semi").select("id", "y", order.alias("o")), "labelled")
+    sizes = {r["y"]: r["count"] for r in labelled.groupBy("y").count().collect()}
+    quotas = _quotas(sizes.get(0, 0), sizes.get(1, 0), settings)
+    parts = [labelled.where(F.col("y") == y).orderBy("o", "id").limit(n) for y, n in enumerate(quotas)]
+    chosen = materialize(parts[0].union(parts[1]), "chosen")
     # At most most_documents rows of three numbers.
     model = _model(rows.where("NOT held_out").join(F.broadcast(chosen), "id").dropDuplicates(["id", "body"]), settings)
-    discard(chosen)
+    discard(labelled, chosen)
     if model is None:
         return docs.select(F.col(id_col), held_out.alias("held_out"), F.lit(0.0).alias("score"), *([F.struct(*docs.columns).alias("row")] if with_row else []))
+    if all(quotas):  # from the odds of the sample to those of all labels
+        model = model[0], model[1] + math.log(quotas[0] / sizes[0]) - math.log(quotas[1] / sizes[1])
     # A row travels once: its text is read from it.
     at = docs.columns.index(text_col) if with_row else None
     carried = F.struct(*docs.columns).alias("row") if with_row else F.col(text_col).alias("body")
