@@ -79,6 +79,25 @@ def test_rare_toxic_words_are_learned(spark):
     assert found[10_001] < 0.01  # the odds are those of all labels, not of the sample
 
 
+def test_short_texts_at_the_settings_that_run(spark):
+    """Short and misspelt toxic texts, a tenth of the labelled rows toxic."""
+    rng = random.Random(5)
+    plain = ["table", "river", "green", "window", "walking", "house", "stone"]
+    rows = []
+    for i in range(2_000):
+        words = [rng.choice(plain) for _ in range(rng.randrange(3, 40))]
+        if i % 10 == 0:
+            words[rng.randrange(len(words))] = rng.choice(["idiotic", "idiots", "idiot"])
+        rows.append((i, " ".join(words)))
+    toxic = ["green idiotz house", "you idiotz", "idiotics", "idiot"]
+    clean = ["green table house", "you walk", "windows", "a", ""]
+    docs = documents(spark, [*rows, *enumerate(toxic, 10_000), *enumerate(clean, 20_000)])
+    marks = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id int, toxic int")
+    found = {r["doc_id"]: r["score"] for r in toxicity_scores(docs, marks, F.col("doc_id") >= 10_000).where("held_out").collect()}
+    assert {i: s >= 0.3 for i, s in found.items()} == {i: i < 20_000 for i in found}
+    assert len(found) == len(toxic) + len(clean)
+
+
 def test_language_on_held_out_rows(spark):
     docs, _ = labelled(spark)
     found = languages(docs, fold(5) == 0).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
