@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 
@@ -18,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of this
-    process where it is unset, as in local tests."""
+    """The shared folder that the cluster names in spark.checkpoint.dir. Where it is unset, a folder
+    of this process serves a local session; executors of a cluster don't share one."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="vertexloom-")
@@ -44,6 +47,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
+    """The inner join of ``rows`` with ``keyed``, which has a row for each key and in ``weight`` how
+    many of the ``total`` rows have it. Keys of more than a thousandth of the rows, of which there
+    can't be more than a thousand, are broadcast, so no task takes all rows of a key."""
+    most = total / 1000
+    heavy = F.broadcast(keyed.where(F.col(weight) > most).withColumn("is_heavy", F.lit(True)))
+    out = [*rows.columns, *[c for c in keyed.columns if c not in rows.columns]]
+    marked = rows.join(heavy, on, "left")
+    light = marked.where("is_heavy IS NULL").select(*rows.columns).join(keyed.where(F.col(weight) <= most), on)
+    return marked.where("is_heavy").select(*out).union(light.select(*out))
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete scratch tables that nothing reads any more."""
     for df in frames:
@@ -54,6 +69,19 @@ def discard(*frames: DataFrame) -> None:
             target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
 
 
+def carried_row(docs: DataFrame, text_col: str, whole: bool) -> tuple[Column, int | None]:
+    """What a pass over texts reads: the text as ``body``, or the whole row as the struct ``row`` and
+    the place of its text. A row travels once."""
+    if not whole:
+        return F.col(text_col).alias("body"), None
+    return whole_row(docs), docs.columns.index(text_col)
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as the struct ``row``, so that their names clash with nothing."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row")
+
+
 def row_texts(batch: pa.RecordBatch, at: int | None) -> pa.Array:
     """The texts of a batch: the column ``body``, or field ``at`` of the struct ``row``."""
     return batch.column("body") if at is None else pc.struct_field(batch.column("row"), [at])

@@ -6,16 +6,19 @@ given length takes half the hash evaluations. Bands of minima and bands of maxim
 pair is a link if the full sets confirm it.
 
 Documents with the same set are one node, so exact copies never pair up. Within a band's bucket
-every node is compared with the bucket's smallest node first; a node is labelled with the smallest
-one that it is linked to, and that one's label. Buckets whose nodes then have one label are settled,
-as further links can't change their component. The nodes of the other buckets are compared in
-blocks of bounded size, by the products of small matrices of full sets: each node travels once for
-each block that it meets, and what comes out are the labels that links join, not the pairs. So all
-that the bands propose is confirmed or already connected, without emitting the pairs within a group
-of copies.
-
-With 144 permutations in bands of 6, two sets of similarity 0.8 share no band with a probability of
-(1 - 0.8 ** 6) ** 48 = 5e-7.
+every node is compared with the bucket's smallest node first, and nodes that links connect get one
+label. Buckets whose nodes then have one label are settled, as further links can't change their
+component. What is left of the other buckets is found by prefixes: two sets of the wanted
+similarity share one of each other's rarest shingles, as many as a fifth of the set and one more,
+so nodes of one such shingle and of different labels meet in blocks of bounded size, which are
+compared by products of small matrices of full sets. What comes out are the labels that links
+join, not the pairs. Shingles of a template that many unlinked documents share are the most
+frequent and not in the prefixes, so such a bucket costs no more than its prefixes. All that the
+bands propose is confirmed or already connected, without emitting the pairs within a group of
+copies.
+
+With 100 permutations in bands of 5, two sets of similarity 0.8 share no band with a probability of
+(1 - 0.8 ** 5) ** 40 = 1.3e-7.
 
 Defined cases: documents without words, or with a null text, have no shingles, are linked with
 nothing and kept; fewer words than a shingle has are one shingle; a null id is linked with nothing,
@@ -35,13 +38,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, binary_texts, byte_slices, discard, materialize
+from .common import SPACED, binary_texts, byte_slices, discard, materialize, spread_join, whole_row
 from .components import connected_components
 
 SLICE_BYTES = 2 << 20
-BLOCK_NODES = 512
-BLOCK_SHINGLES = 1 << 19
-LABEL_STEPS = 2
+BLOCK_NODES = 1024
+BLOCK_SHINGLES = 1 << 20
 MATRIX_COLUMNS = 8192
 
 
@@ -49,8 +51,8 @@ MATRIX_COLUMNS = 8192
 class NearDuplicateSettings:
     shingle_words: int = 5
     similarity_percent: int = 80
-    permutations: int = 144
-    band_rows: int = 6
+    permutations: int = 100
+    band_rows: int = 5
     seed: int = 20
 
 
@@ -162,8 +164,9 @@ def _signatures(rows: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
     return rows.mapInArrow(sign, f"id {kind}, n_shingles long, key1 long, key2 long, bands array<long>")
 
 
-def _sets_of(rows: DataFrame, ids: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
-    """(id, shingles) of the documents named in ``ids``, the sets as bytes."""
+def _sets_of(rows: DataFrame, ids: DataFrame, repeated: bool, settings: NearDuplicateSettings) -> DataFrame:
+    """(id, shingles) of the documents named in ``ids``, the sets as bytes; a row for each set of an
+    id. Texts aren't shuffled to tell repeated rows apart, their sets are, where there are any."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +175,8 @@ def _sets_of(rows: DataFrame, ids: DataFrame, settings: NearDuplicateSettings) -
                 found = shingle_sets(binary_texts(piece, "body"), settings.shingle_words)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
 
-    return rows.join(ids, "id", "left_semi").dropDuplicates(["id", "body"]).mapInArrow(sets, f"id {kind}, shingles binary")
+    made = rows.join(ids, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary")
+    return made.dropDuplicates(["id", "shingles"]) if repeated else made
 
 
 def links_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -239,23 +243,55 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, settings: NearDuplicateSetting
     return pairs.join(left, "a").join(right, "b").select("a", "b", "left_set", "right_set").mapInArrow(confirm, f"a {kind}, b {kind}")
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, label): the smallest node that links reach in a few steps. Nodes of one label are
-    connected; nodes of different labels may be."""
-    labels = materialize(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "labels")
-    out = labels
-    for _ in range(LABEL_STEPS):
-        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        out = out.join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
-    return out
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _open_nodes(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes of the bands that hold more than one label."""
+    rows = _labelled(members, labels)
+    bands = rows.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n")).where("least < most")
+    return spread_join(rows.select("band", "node"), bands.select("band", "n"), ["band"], "n", members.count()).select("node").distinct()
 
 
-def _open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members of the buckets that hold more than one label, with their labels."""
-    rows = members.select("band", "node", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_bands = rows.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.sum("size").alias("total")).where("least < most")
+def _groups_to_compare(prefixes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members of the prefix shingles by which nodes of different labels may meet, with the
+    number of blocks that a group falls into. Of shingles with the same members one is left."""
+    count = prefixes.count()
+    early = prefixes.groupBy("band").agg(F.min(F.when(F.col("early"), F.col("size"))).alias("least_size"), F.count("*").alias("n")).where("least_size IS NOT NULL AND n > 1")
+    # The smaller set of a pair holds the shingle early.
+    rows = spread_join(prefixes, early, ["band"], "n", count).where("size >= least_size").select("band", "node", "size")
+    rows = materialize(_labelled(rows, labels), "prefix-groups")
+    groups = rows.groupBy("band").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("n"), F.sum("size").alias("total"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    groups = groups.where("least < most").groupBy("members", "n", "total").agg(F.min("band").alias("band"))
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK_NODES, F.col("total") / BLOCK_SHINGLES)).cast("int")
-    return rows.join(open_bands.select("band", blocks.alias("blocks")), "band")
+    return spread_join(rows, groups.select("band", blocks.alias("blocks"), "n"), ["band"], "n", count).drop("n")
+
+
+def _prefix_members(nodes: DataFrame, sets: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
+    """(band, node, size, early) with the shingles that two or more of the ``nodes`` share, and that
+    are in the prefix of the node, as bands. ``early`` marks those in the shorter prefix that holds
+    a shared shingle if the node's set is the smaller one of a pair."""
+    kind = nodes.schema["node"].dataType.simpleString()
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            full = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in full])]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*full, np.zeros(0, np.int64)])))], names=["node", "tokens"])
+
+    tokens = sets.withColumnRenamed("id", "node").join(nodes, "node", "left_semi").mapInArrow(listed, f"node {kind}, tokens array<long>")
+    tokens = materialize(tokens.select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token")), "tokens")
+    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    by_node = spread_join(tokens, shared, ["token"], "n", tokens.count()).groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("rarest"))
+    # Shingles of one node alone come first in its prefix and lead to nobody.
+    alone = F.col("size") - F.size("rarest")
+    similar = settings.similarity_percent
+    prefix = F.col("size") - F.ceil(F.col("size") * similar / 100) + 1
+    as_smaller = F.col("size") - F.ceil(F.col("size") * 2 * similar / (100 + similar)) + 1
+    left = F.greatest(prefix - alone, F.lit(0)).cast("int")
+    placed = by_node.select("node", "size", alone.alias("alone"), F.posexplode(F.slice("rarest", F.lit(1), left)).alias("place", "x"))
+    return placed.select(F.col("x.token").alias("band"), "node", "size", (F.col("alone") + F.col("place") < as_smaller).alias("early"))
 
 
 def _across(rows: DataFrame, sets: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
@@ -312,25 +348,48 @@ def near_duplicates(docs: DataFrame, settings: NearDuplicateSettings = NearDupli
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
     signed = materialize(_signatures(rows, settings), "signatures")
     key = ["n_shingles", "key1", "key2"]
-    linkable = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    nodes = materialize(linkable.groupBy(*key).agg(F.min("id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    can_link = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    linkable = signed.where(can_link)
+    nodes = materialize(linkable.groupBy(*key).agg(F.min("id").alias("node"), F.count("*").alias("n_rows"), F.first("bands").alias("bands")), "nodes")
     banded = nodes.select("node", F.col("n_shingles").alias("size"), F.explode("bands").alias("band"))
     centre = F.min(F.struct("node", "size")).alias("centre")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), centre).where("n > 1")
-    members = materialize(banded.join(shared.select("band", F.col("centre.node").alias("c"), F.col("centre.size").alias("c_size")), "band"), "members")
-    sets = materialize(_sets_of(rows, members.select(F.col("node").alias("id")).distinct(), settings), "sets")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), centre).where("n > 1").select("band", "n", F.col("centre.node").alias("c"), F.col("centre.size").alias("c_size"))
+    members = materialize(spread_join(banded, shared, ["band"], "n", nodes.count() * 2 * settings.permutations // settings.band_rows), "members")
+    repeated = not linkable.groupBy("id").count().where("count > 1").isEmpty()
+    sets = materialize(_sets_of(rows, members.select(F.col("node").alias("id")).distinct(), repeated, settings), "sets")
 
     to_centres = members.where((F.col("node") != F.col("c")) & _close(F.col("size"), F.col("c_size"), settings))
     links = materialize(_confirmed(to_centres.select(F.col("c").alias("a"), F.col("node").alias("b")).distinct(), sets, settings), "links")
-    labels = materialize(_labels(links), "labels")
-    across = _across(_open_rows(members, labels), sets, settings)
-    edges = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(across)
-    labels = materialize(connected_components(edges), "components")
-    discard(sets, members, links)
-
-    named = nodes.select(*key, "node").join(labels.select(F.col("vertex").alias("node"), "component"), "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("id", *key).join(named, key, "left")
+    first = materialize(connected_components(links), "first-components")
+    labels = first.select(F.col("vertex").alias("node"), F.col("component").alias("label"))
+    opened = materialize(_open_nodes(members, labels), "open-nodes")
+    prefixes = materialize(_prefix_members(opened, sets, settings), "prefixes")
+    across = materialize(_across(_groups_to_compare(prefixes, labels), sets, settings), "across")
+    labels = materialize(connected_components(first.toDF("a", "b").union(across)), "components")
+    discard(sets, members, links, first, prefixes, across)
+
+    named = nodes.join(labels.select(F.col("vertex").alias("node"), "component"), "node", "left").select(*key, "n_rows", F.coalesce("component", "node").alias("component_id"))
+    linked = spread_join(linkable.select("id", *key), named, key, "n_rows", signed.count()).select("id", "n_shingles", "component_id")
     # Rows that can't be linked stand alone.
-    component = F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+    out = linked.union(signed.where(~can_link).select("id", "n_shingles", F.col("id").alias("component_id")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def without_near_duplicates(docs: DataFrame, settings: NearDuplicateSettings = NearDuplicateSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of the document of the smallest id of each group, with all their columns. Of rows
+    that repeat an id and its text, the one of the smallest hash of all its columns stays; rows
+    with a null id stay."""
+    dropped = near_duplicates(docs, settings, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("dropped")).distinct()
+    rows = docs.select(whole_row(docs))
+    at = F.col("row").getField(id_col)
+    rows = rows.join(dropped, at == F.col("dropped"), "left_anti")
+    text = F.md5(F.col("row").getField(text_col).cast("binary"))
+    # Ids and digests tell whether any row is repeated at all; only such rows are grouped.
+    named = docs.select(F.col(id_col).alias("id"), F.md5(F.col(text_col).cast("binary")).alias("digest")).where("id IS NOT NULL")
+    repeated = materialize(named.groupBy("id", "digest").count().where("count > 1").select("id").distinct(), "repeated-ids")
+    if repeated.isEmpty():
+        discard(repeated)
+        return rows.select("row.*")
+    single = rows.join(repeated, at == F.col("id"), "left_anti")
+    several = rows.join(repeated, at == F.col("id"), "left_semi").groupBy(at.alias("id"), text.alias("digest"))
+    return single.union(several.agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")).select("row.*")
