@@ -7,11 +7,14 @@ The copies of all sources, ordered by finish time, are cut where their words rea
 
 Cumulative sums are taken in two steps: sums of hash ranges within a source (or of ranges of
 finish time), then rows within a range. No task holds a source or the whole order, however large.
+Rows that share one hash, as all rows of a null or much repeated id do, follow the others of their
+range, in ranges of their own by a hash of the row's number.
 
 Defined cases: a null text has 0 words; a null source is a source of its own, last in order; a
 document without words takes none; a null id counts as the empty string in the shuffle; repeated
-rows are mixed each on their own; equal finish times are ordered by source, then by hash; an empty
-table gives an empty result. Other columns are not read.
+rows are mixed each on their own, and each keeps its own copies; equal finish times are ordered by
+source, then by hash; an empty table gives an empty result; other columns are not read, but carried
+whole by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, whole_row
 
 ROWS_IN_RANGE = 4096
 #: A word is a run of characters other than ASCII white space.
@@ -62,33 +65,42 @@ def source_targets(sizes: DataFrame, settings: MixSettings) -> DataFrame:
     return rows.select("source_null", "source_key", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, settings: MixSettings = MixSettings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Return (id, size, source_size, target, taken) for every row: the words of the text, the
-    words and the target of its source, and the words that the mix takes of it, copies counted."""
+ORDER = ["finish", "source_null", "source_key", "apart", "shuffle", "tie"]
+
+
+def _decided(docs: DataFrame, settings: MixSettings, id_col: str, text_col: str, source_col: str, number: Column) -> DataFrame:
+    """(id, number, size, source_size, target, taken) of every row; ``number`` tells rows apart."""
     source = F.col(source_col).cast("string")
     rows = docs.select(
         F.col(id_col).alias("id"),
+        number.alias("number"),
         source.isNull().alias("source_null"),
         F.coalesce(source, F.lit("")).alias("source_key"),
         word_count(text_col).alias("size"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("shuffle"),
     )
-    rows = materialize(rows, "mix-sizes")
-    count = rows.count()
+    sizes = materialize(rows, "mix-sizes")
+    count = sizes.count()
     digits = max(1, math.ceil(math.log(max(count / ROWS_IN_RANGE, 1), 16)))
-    rows = rows.withColumn("range", F.substring("shuffle", 1, digits))
+    # At most one hash for every ROWS_IN_RANGE rows; Spark broadcasts them where they are few.
+    shared = sizes.groupBy("shuffle").count().where(F.col("count") > ROWS_IN_RANGE).select("shuffle", F.lit(True).alias("apart"))
+    rows = sizes.join(shared, "shuffle", "left").withColumn("apart", F.coalesce("apart", F.lit(False)))
+    tie = F.md5(F.col("number").cast("string").cast("binary"))
+    rows = rows.withColumn("tie", tie).withColumn("range", F.substring("shuffle", 1, digits))
+    rows = rows.withColumn("part", F.when(F.col("apart"), F.concat("shuffle", F.substring("tie", 1, digits))).otherwise(""))
     key = ["source_null", "source_key"]
-    ranges = rows.groupBy(*key, "range").agg(F.sum("size").alias("range_size"))
-    in_source = Window.partitionBy(*key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy(*key, "range", "part").agg(F.sum("size").alias("range_size"))
+    in_source = Window.partitionBy(*key).orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(in_source), F.lit(0)))
-    ranges = ranges.join(source_targets(rows, settings), key).drop("range_size")
-    in_range = Window.partitionBy(*key, "range").orderBy("shuffle", "size").rowsBetween(Window.unboundedPreceding, 0)
-    timed = rows.join(ranges, [*key, "range"]).withColumn("reached", F.col("range_start") + F.sum("size").over(in_range))
+    ranges = ranges.join(source_targets(sizes, settings), key).drop("range_size")
+    in_range = Window.partitionBy(*key, "range", "part").orderBy("shuffle", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    timed = rows.join(ranges, [*key, "range", "part"]).withColumn("reached", F.col("range_start") + F.sum("size").over(in_range))
     finish = lambda copy: (F.lit(copy) * F.col("source_size") + F.col("reached")).cast("double") / F.col("target")
-    timed = materialize(timed.select("id", "source_null", "source_key", "shuffle", "size", "source_size", "target", "reached"), "mix-timed")
+    timed = materialize(timed.select("id", "number", "source_null", "source_key", "apart", "shuffle", "tie", "size", "source_size", "target", "reached"), "mix-timed")
+    discard(sizes)
 
     budget = timed.agg(F.sum("size")).first()[0] or 0
-    copies = [timed.where("size > 0").select(finish(c).alias("finish"), "source_null", "source_key", "shuffle", "size") for c in range(settings.most_copies)]
+    copies = [timed.where("size > 0").select(finish(c).alias("finish"), *ORDER[1:], "size") for c in range(settings.most_copies)]
     order = copies[0]
     for more in copies[1:]:
         order = order.union(more)
@@ -96,10 +108,17 @@ def mix(docs: DataFrame, settings: MixSettings = MixSettings(), id_col: str = "d
     if last is None:
         taken = F.lit(0).cast("long")
     else:
-        cut = F.struct(F.lit(last["finish"]), F.lit(last["source_null"]), F.lit(last["source_key"]), F.lit(last["shuffle"]))
-        within = [F.when(F.struct(finish(c), "source_null", "source_key", "shuffle") <= cut, 1).otherwise(0) for c in range(settings.most_copies)]
+        cut = F.struct(*[F.lit(last[c]) for c in ORDER])
+        within = [F.when(F.struct(finish(c), *ORDER[1:]) <= cut, 1).otherwise(0) for c in range(settings.most_copies)]
         taken = F.when(F.col("size") > 0, F.col("size") * sum(within[1:], within[0])).otherwise(0).cast("long")
-    return timed.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
+    return timed.select("id", "number", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mix(docs: DataFrame, settings: MixSettings = MixSettings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Return (id, size, source_size, target, taken) for every row: the words of the text, the
+    words and the target of its source, and the words that the mix takes of it, copies counted."""
+    decided = _decided(docs, settings, id_col, text_col, source_col, F.monotonically_increasing_id())
+    return decided.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken")
 
 
 def _last_within(order: DataFrame, budget: int, count: int):
@@ -111,24 +130,23 @@ def _last_within(order: DataFrame, budget: int, count: int):
     marked = sums.withColumn("ahead", ahead)
     # The budget ends in the last step that starts below it.
     end = marked.where(F.col("ahead") < budget).orderBy(F.desc("step")).limit(2).collect()
-    keys = ["finish", "source_null", "source_key", "shuffle"]
     for step in end:  # the step before it, where not even the first copy of the last step fits
         within = order.where(F.col("step") == step["step"])
-        running = F.sum("size").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0))
-        found = within.withColumn("total", running + step["ahead"]).where(F.col("total") <= budget).orderBy(*[F.desc(k) for k in keys]).select(*keys).first()
+        running = F.sum("size").over(Window.orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0))
+        found = within.withColumn("total", running + step["ahead"]).where(F.col("total") <= budget).orderBy(*[F.desc(k) for k in ORDER]).select(*ORDER).first()
         if found is not None:
             return found
     return None
 
 
 def mixed_documents(docs: DataFrame, settings: MixSettings = MixSettings(), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents of the mix with all their columns, a row for each copy. Ids are taken to be
-    unique; of repeated ones every row gets the copies of the most copied."""
-    decided = mix(docs, settings, id_col, text_col, source_col).where("taken > 0")
-    copies = decided.groupBy(F.col(id_col).alias("mixed_id")).agg(F.max((F.col("taken") / F.col("size")).cast("int")).alias("mixed_copies"))
-    kept = docs.join(copies, docs[id_col].eqNullSafe(copies["mixed_id"]))
-    out = [docs[c] for c in docs.columns]
-    return kept.select(*out, F.explode(F.sequence(F.lit(1), F.col("mixed_copies"))).alias("mixed_copy")).drop("mixed_copy")
+    """The documents of the mix with all their columns, a row for each copy of each row."""
+    # Numbered once, so that the decisions find their rows again.
+    numbered = materialize(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("number")), "mix-rows")
+    read = numbered.select("number", *[F.col("row").getField(c).alias(f"mix_{n}") for n, c in enumerate((id_col, text_col, source_col))])
+    decided = _decided(read, settings, "mix_0", "mix_1", "mix_2", F.col("number")).where("taken > 0")
+    copies = decided.select("number", F.sequence(F.lit(1), (F.col("taken") / F.col("size")).cast("int")).alias("copies"))
+    return numbered.join(copies, "number").select("row", F.explode("copies")).select("row.*")
 
 
 ORACLE = r"""

@@ -10,7 +10,7 @@ share one id still split, and every shard fits the limit unless a single documen
 
 Defined cases: a null text has 0 bytes; null ids hash as the empty string; repeated rows are
 sharded each; a document larger than the limit has a shard of its own; an empty table gives an
-empty result; other columns are not read.
+empty result; other columns are not read, but carried whole by ``write_shards``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize, whole_row
 
 
 @dataclass(frozen=True)
@@ -54,13 +54,12 @@ def _directory(sizes: DataFrame, bits: int, limit: int) -> DataFrame:
     return sizes.select("prefix", "value").join(leaf, ["prefix", "value"], "left")
 
 
-def shards(docs: DataFrame, settings: ShardSettings = ShardSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (id, n_bytes, shard, depth, shard_bytes) for every row; ``shard`` holds the hash bits
-    that all its documents share, ``depth`` their number."""
-    row_bits = _hash_bits(F.monotonically_increasing_id().cast("string"))
+def _placed(docs: DataFrame, settings: ShardSettings, id_col: str, text_col: str, number: Column) -> DataFrame:
+    """(id, number, n_bytes, shard, depth, shard_bytes) of every row; ``number`` tells rows apart."""
+    row_bits = _hash_bits(F.col("number").cast("string"))
     id_bits = _hash_bits(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long")
-    open_rows = materialize(docs.select(F.col(id_col).alias("id"), size.alias("bytes"), id_bits.alias("w0"), row_bits.alias("w1"), F.lit("").alias("prefix")), "shard-rows")
+    open_rows = materialize(docs.select(F.col(id_col).alias("id"), number.alias("number"), size.alias("bytes"), id_bits.alias("w0"), F.lit("").alias("prefix")).withColumn("w1", row_bits), "shard-rows")
     placed = []
     word = offset = 0
     while True:
@@ -80,31 +79,48 @@ def shards(docs: DataFrame, settings: ShardSettings = ShardSettings(), id_col: s
         out_of_bits = word == 2
         done = joined if out_of_bits else joined.where("shard IS NOT NULL")
         shard = F.coalesce("shard", F.concat("prefix", _bit_string(F.col("value"), F.lit(bits))))
-        placed.append(done.select(F.col("id").alias(id_col), F.col("bytes").alias("n_bytes"), shard.alias("shard"), F.length(shard).cast("long").alias("depth"), F.coalesce("shard_bytes", "bytes").alias("shard_bytes")))
+        placed.append(done.select("id", "number", F.col("bytes").alias("n_bytes"), shard.alias("shard"), F.length(shard).cast("long").alias("depth"), F.coalesce("shard_bytes", "bytes").alias("shard_bytes")))
         if out_of_bits or directory.where("shard IS NULL").isEmpty():
             break
         longer = F.concat("prefix", _bit_string(F.col("value"), F.lit(bits))).alias("prefix")
-        open_rows = materialize(joined.where("shard IS NULL").select("id", "bytes", "w0", "w1", longer), "shard-rows")
+        open_rows = materialize(joined.where("shard IS NULL").select("id", "number", "bytes", "w0", "w1", longer), "shard-rows")
     if not placed:
-        return open_rows.select(F.col("id").alias(id_col), F.col("bytes").alias("n_bytes"), F.col("prefix").alias("shard"), F.lit(0).cast("long").alias("depth"), F.col("bytes").alias("shard_bytes"))
+        return open_rows.select("id", "number", F.col("bytes").alias("n_bytes"), F.col("prefix").alias("shard"), F.lit(0).cast("long").alias("depth"), F.col("bytes").alias("shard_bytes"))
     out = placed[0]
     for more in placed[1:]:
         out = out.union(more)
     return out
 
 
-def write_shards(docs: DataFrame, path: str, settings: ShardSettings = ShardSettings(), id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents as Parquet, a folder for each shard. Ids are taken to be unique."""
-    placed = shards(docs, settings, id_col, text_col).select(F.col(id_col).alias("placed_id"), "shard")
-    rows = docs.join(placed, docs[id_col].eqNullSafe(placed["placed_id"])).drop("placed_id")
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+def shards(docs: DataFrame, settings: ShardSettings = ShardSettings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return (id, n_bytes, shard, depth, shard_bytes) for every row; ``shard`` holds the hash bits
+    that all its documents share, ``depth`` their number."""
+    placed = _placed(docs, settings, id_col, text_col, F.monotonically_increasing_id())
+    return placed.select(F.col("id").alias(id_col), "n_bytes", "shard", "depth", "shard_bytes")
 
 
+def write_shards(docs: DataFrame, path: str, settings: ShardSettings = ShardSettings(), id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the documents as Parquet, a folder ``shard=b<bits>`` for each shard. Every row goes to
+    its own shard, whatever ids repeat; a column of the documents of that name stays in the files
+    as ``shard_column``, or with more underscores at its end where that is taken."""
+    numbered = materialize(docs.select(whole_row(docs), F.monotonically_increasing_id().alias("number")), "shard-documents")
+    read = numbered.select("number", F.col("row").getField(id_col).alias("id"), F.col("row").getField(text_col).alias("body"))
+    placed = _placed(read, settings, "id", "body", F.col("number")).select("number", "shard")
+    names = {c.lower() for c in docs.columns}
+    other = "shard_column"
+    while other in names:
+        other += "_"
+    columns = [F.col("row").getField(c).alias(other if c.lower() == "shard" else c) for c in docs.columns]
+    numbered.join(placed, "number").select(*columns, F.concat(F.lit("b"), "shard").alias("shard")).repartition("shard").write.partitionBy("shard").parquet(path)
+    discard(numbered)
+
+
+#: DuckDB SQL of the shards of documents at a limit; the first 32 bits of the hash suffice there.
 ORACLE = """
 WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0) AS bytes, CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h FROM documents),
 e AS (SELECT d.*, k, h >> (32 - k) AS p FROM d, (SELECT unnest(range(0, 33)) AS k)),
 g AS (SELECT k, p, sum(bytes) AS s, count(*) AS n FROM e GROUP BY k, p),
-l AS (SELECT doc_id, min(k) AS k FROM e JOIN g USING (k, p) WHERE s <= 16777216 OR n <= 1 GROUP BY doc_id)
+l AS (SELECT doc_id, min(k) AS k FROM e JOIN g USING (k, p) WHERE s <= {limit} OR n <= 1 GROUP BY doc_id)
 SELECT e.doc_id, CAST(e.bytes AS BIGINT) AS n_bytes, CASE WHEN e.k = 0 THEN '' ELSE substr(lpad(bin(e.h), 32, '0'), 1, CAST(e.k AS INTEGER)) END AS shard,
   CAST(e.k AS BIGINT) AS depth, CAST(g.s AS BIGINT) AS shard_bytes
 FROM l JOIN e ON l.doc_id = e.doc_id AND l.k = e.k JOIN g ON g.k = e.k AND g.p = e.p
