@@ -36,14 +36,6 @@ def test_quality_on_held_out_rows(spark):
     assert ((s >= 0.3) == y).mean() > 0.97
 
 
-def test_toxicity_on_held_out_rows(spark):
-    docs, labels = labelled(spark)
-    scores = toxicity_scores(docs, labels, fold(4) == 2)
-    s, y = held_out(scores, labels, "toxic")
-    found = s >= 0.3
-    assert found[y == 1].mean() > 0.9 and (y[found] == 1).mean() > 0.9
-
-
 def test_unseen_misspellings_share_vectors(spark):
     rng = random.Random(1)
     plain = ["table", "river", "green", "window", "walking", "house", "stone"]
@@ -151,7 +143,7 @@ def test_isotonic():
 def test_top_k_against_brute_force(spark, wide):
     rng = np.random.default_rng(4)
     rows = [(i, (rng.normal(size=6) * wide).round(2).tolist()) for i in range(300)]
-    rows += [(300, rows[0][1]), (301, rows[0][1]), (350, None), (400, [1.0, None, 2.0, 0, 0, 0]), (450, [float("nan")] * 6), (451, [float("inf")] * 6), (None, [1.0] * 6), (452, [])]
+    rows += [(300, rows[0][1]), (301, rows[0][1]), (350, None), (400, [1.0, None, 2.0, 0.0, 0.0, 0.0]), (450, [float("nan")] * 6), (451, [float("inf")] * 6), (None, [1.0] * 6), (452, [])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").withColumn("score", F.lit(1)).withColumn("id", F.lit(1))
     usable = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = []
@@ -171,7 +163,7 @@ def test_top_k_against_brute_force(spark, wide):
         finally:
             topk.SHARD_ROWS = small
     else:  # scores beyond 64 bits can't be reported
-        with pytest.raises(Exception, match="int|Overflow|overflow"):
+        with pytest.raises(Exception, match="a score doesn't fit 64 bits"):
             found.collect()
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
@@ -192,12 +184,148 @@ def test_pipeline_of_stages(spark):
     assert corpus_pipeline.run(spark, sf).count() == last.count()
 
 
-def test_long_texts_are_counted_in_parts(monkeypatch):
+@pytest.mark.parametrize("kind", ["spaces", "tabs", "one word", "cjk", "mixed"])
+def test_long_texts_are_counted_in_parts(monkeypatch, kind):
     from vertexloom.llm import toxicity
 
     rng = random.Random(3)
-    text = " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) for _ in range(400))
-    whole = toxicity.counted([text], ToxicitySettings())
-    monkeypatch.setattr(toxicity, "LONG_TEXT", 100)
-    for a, b in zip(whole, toxicity.counted([text], ToxicitySettings()), strict=True):
-        assert (a == b).all()
+    words = ["".join(rng.choice("日本語文字漢" if kind == "cjk" else "abcé") for _ in range(rng.randint(1, 9))) for _ in range(400)]
+    text = {"spaces": " ", "tabs": "\t", "one word": "", "cjk": "", "mixed": ", \n"}[kind].join(words)
+    settings = ToxicitySettings(lengths=(4, 5, 6))
+    whole = toxicity.counted([text], settings)
+    for limit in (100, 101, 7):
+        monkeypatch.setattr(toxicity, "LONG_TEXT", limit)
+        for a, b in zip(whole, toxicity.counted([text], settings), strict=True):
+            assert (a == b).all()
+    # The same n-grams where the text is one of several.
+    monkeypatch.undo()
+    owner, bucket, count = toxicity.counted(["x y", text, None], settings)
+    assert (bucket[owner == 1] == whole[1]).all() and (count[owner == 1] == whole[2]).all()
+
+
+def test_toxicity_gradients_are_those_of_the_loss():
+    from vertexloom.llm.toxicity import losses
+
+    rng = np.random.default_rng(1)
+    parameters = [rng.normal(size=(3, 7)), rng.normal(size=(3, 2)), rng.normal(size=2)]
+    averages, labels = (np.array([0, 0, 1, 2, 2, 2]), np.array([1, 4, 1, 0, 6, 6]), rng.random(6)), np.array([1, 0, 1])
+    _, gradients = losses(*parameters, averages, labels)
+    for p, g in zip(parameters, gradients, strict=True):
+        for at in np.ndindex(p.shape):
+            old, h = p[at], 1e-6
+            p[at] = old + h
+            up = losses(*parameters, averages, labels)[0]
+            p[at] = old - h
+            down = losses(*parameters, averages, labels)[0]
+            p[at] = old
+            assert abs((up - down) / (2 * h) - g[at]) < 1e-6
+
+
+def test_logistic_curve():
+    from vertexloom.llm.toxicity import logistic_curve
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(3, 5, 20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(0.7 * x - 1)))).astype(np.int64)
+    slope, shift = logistic_curve(x, y, np.ones(len(x)))
+    assert abs(slope - 0.7) < 0.05 and abs(shift + 1) < 0.1
+    # Half of the rows of label 0 at twice their weight give the same curve.
+    some = (y == 1) | (rng.random(len(y)) < 0.5)
+    slope, shift = logistic_curve(x[some], y[some], np.where(y[some] == 1, 1.0, 2.0))
+    assert abs(slope - 0.7) < 0.05 and abs(shift + 1) < 0.15
+    assert logistic_curve(np.array([1.0, 2, 3]), np.array([1, 0, 0]), np.ones(3))[0] == 0  # never falls
+
+
+def test_kernel_map_approximates_a_gaussian_kernel():
+    from vertexloom.llm.quality import KernelMap
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(40, 5))
+    width = 2.0
+    kernel = KernelMap(np.zeros(5), np.ones(5), rng.normal(size=(5, 20_000)) / width, rng.uniform(0, 2 * np.pi, 20_000))
+    z = kernel(x)[:, 1:]
+    exact = np.exp(-((x[:, None] - x[None]) ** 2).sum(axis=2) / (2 * width**2))
+    assert np.abs(z @ z.T - exact).max() < 0.04
+
+
+def test_isotonic_against_the_definition():
+    """The value at i is the greatest, over starts, of the least, over ends, mean around i."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        n = int(rng.integers(1, 15))
+        x, y, w = np.sort(rng.normal(size=n)), rng.normal(size=n), rng.random(n) + 0.1
+        want = [max(min(np.average(y[a : b + 1], weights=w[a : b + 1]) for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        centres, values = pool_adjacent_violators(x, y, w)
+        assert np.allclose(values, np.unique(np.round(want, 12))) or np.allclose(sorted(set(np.round(values, 9))), sorted(set(np.round(want, 9))))
+
+
+@pytest.mark.parametrize("rows", [500, 3000])
+def test_maxscore_skips_what_cannot_win(rows):
+    from vertexloom.llm.topk import maxscore
+
+    rng = np.random.default_rng(6)
+    vectors = np.floor(256 * rng.normal(size=(rows, 16)) * np.linspace(2, 0.05, 16))
+    ids = rng.permutation(rows)
+    low, high = vectors.min(axis=0), vectors.max(axis=0)
+    for q in range(0, rows, 50):
+        own = ids == ids[q]
+        scores, best, products = maxscore(vectors[q], own, vectors, ids, low, high, 5)
+        want = sorted((-int(vectors[q] @ v), int(i)) for v, i in zip(vectors, ids, strict=True) if i != ids[q])[:5]
+        assert [(-int(s), int(i)) for s, i in zip(scores, best, strict=True)] == want
+        assert products < vectors.size
+
+
+def test_maxscore_skips_rows_of_the_test_table(spark):
+    import vertexloom.llm.topk as topk
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").where(topk.usable("embedding")).select("vec_id", topk.integer_vector("embedding", 256).alias("v")).collect()
+    vectors, ids = np.array([r["v"] for r in rows], float), np.array([r["vec_id"] for r in rows])
+    low, high = vectors.min(axis=0), vectors.max(axis=0)
+    asked = np.flatnonzero(ids % 50 == 0)
+    work = [topk.maxscore(vectors[q], ids == ids[q], vectors, ids, low, high, 5)[2] for q in asked]
+    assert sum(work) < len(asked) * vectors.size
+
+
+def test_repeated_queries_are_asked_for_each_vector(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0, 3.0])]
+    found = top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0, k=1).collect()
+    assert sorted(map(tuple, found)) == [(0, 1, 1, 256 * 512), (0, 1, 2, 256 * 768)]
+    with pytest.raises(Exception, match="a component doesn't fit 64 bits"):
+        top_k(spark.createDataFrame([(0, [1e30]), (1, [1.0])], "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).collect()
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_pipeline_stages_stand_odd_rows(spark, stage):
+    """Null, empty and long texts, repeats, an empty table, further columns, and names that the
+    operators use themselves."""
+    import corpus_pipeline
+
+    name, run = corpus_pipeline.STAGES[stage]
+    docs = documents(spark, ODD, extra=True)
+    for column in ("mixed_copies", "mixed_copy", "same_text", "dropped", "digest", "number", "copies", "label", "token", "is_heavy", "mix_0"):
+        docs = docs.withColumn(column, F.lit("mine"))
+    sf = "/root/testdata/sf0.001"
+    after = run(spark, docs, sf)
+    rows = after.collect()
+    if stage < 4:
+        assert after.columns == docs.columns
+        assert {tuple(r) for r in rows} <= {tuple(r) for r in docs.collect()}
+    if name == "near_duplicates":
+        assert sorted((r["doc_id"] for r in rows), key=str) == sorted([1, 2, 3, 4, None, 5, 7, 8, 9], key=str)
+    if name == "decontamination":
+        assert len(rows) == len(ODD)
+    if name == "token_ids":
+        assert len(rows) == len(ODD) and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {1}
+    empty = run(spark, docs.limit(0), sf)
+    assert empty.count() == 0 and empty.columns == after.columns
+
+
+def test_toxicity_generalizes(spark):
+    """Held-out rows of two sizes; the settings were chosen by folds of the learning rows alone. The
+    smaller size has 37 toxic rows to learn from and 14 to find."""
+    for sf, recall, precision in (("sf0.01", 0.5, 0.7), ("sf0.1", 0.9, 0.9)):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        s, y = held_out(toxicity_scores(docs, labels, fold(4) == 2), labels, "toxic")
+        found = s >= 0.3
+        print(sf, found[y == 1].sum(), (y == 1).sum(), found.sum())
+        assert found[y == 1].mean() >= recall and (y[found] == 1).mean() >= precision

@@ -211,3 +211,49 @@ def test_sharding_odd_rows(spark, tmp_path):
     assert all(held[r["shard"]] == r["shard_bytes"] for r in found)
     write_shards(documents(spark, [(i, "abc") for i in range(20)]), str(tmp_path / "s"), ShardSettings(limit_bytes=12))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 20
+
+
+def test_mixed_documents_take_what_the_mix_decides(spark):
+    """Repeated and null ids, rows of one id in two sources, and columns named as the operator's."""
+    rng = random.Random(11)
+    rows = [(rng.choice([None, 1, 2, 3, i]), "w " * rng.randint(1, 30), "en", rng.choice(["a", "b", "c", None])) for i in range(200)]
+    docs = documents(spark, rows, extra=True)
+    for name in ("mixed_copies", "mixed_copy", "number", "copies", "row", "tie", "apart"):
+        docs = docs.withColumn(name, F.lit("mine"))
+    taken = {(r[0], r[1]): r[2] for r in mix(docs).groupBy("doc_id", "source_size").agg(F.sum("taken")).collect()}
+    copies = mixed_documents(docs)
+    assert copies.columns == docs.columns
+    found = copies.select("doc_id", F.size(F.split(F.trim("text"), " ")).alias("words"), "number").collect()
+    assert sum(r["words"] for r in found) == sum(taken.values()) <= sum(len(t.split()) for _, t, *_ in rows)
+    assert {r["number"] for r in found} == {"mine"}
+
+
+def test_mixing_spreads_a_repeated_id(spark, monkeypatch):
+    import vertexloom.llm.mixing as mixing
+
+    rows = [(7 if i % 2 else i, "w " * (i % 13 + 1), "en", "ab"[i % 3 == 0]) for i in range(600)]
+    want = mix(documents(spark, rows)).agg(F.sum("taken"), F.count("*")).first()
+    monkeypatch.setattr(mixing, "ROWS_IN_RANGE", 16)
+    found = mix(documents(spark, rows)).agg(F.sum("taken"), F.count("*")).first()
+    assert abs(found[0] - want[0]) <= 13 and found[1] == want[1] == 600
+
+
+def test_shards_are_written_row_by_row(spark, tmp_path):
+    docs = documents(spark, [(1, "x" * 50)] * 10 + [(None, "x" * 50)] * 3 + ODD, extra=True).withColumn("shard_column", F.lit(1)).withColumn("number", F.lit(2))
+    write_shards(docs, str(tmp_path / "s"), ShardSettings(limit_bytes=120))
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 13 + len(ODD)
+    assert set(back.columns) == (set(docs.columns) - {"shard"}) | {"shard", "shard_column_"}
+    sizes = back.groupBy("shard").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("rows"))
+    assert sizes.where("bytes > 120 AND rows > 1").count() == 0
+
+
+def test_scratch_folder_is_shared_off_local(spark):
+    from types import SimpleNamespace
+
+    from vertexloom.llm.common import scratch_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(SimpleNamespace(sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", applicationId="a")))
+    assert scratch_dir(spark)
