@@ -28,10 +28,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id stays of each group, on shingles of five words. Rows that
     repeat an id and its text count once."""
-    found = near_duplicates.near_duplicates(docs)
-    dropped = found.where("NOT kept").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    return kept.withColumn("same_text", F.xxhash64("text")).dropDuplicates(["doc_id", "same_text"]).drop("same_text")
+    return near_duplicates.without_near_duplicates(docs)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
