@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import tempfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -56,7 +57,7 @@ class ToxicitySettings:
     most_documents: int = 6_000
     toxic_share: float = 0.5  # of the sample goes to toxic documents first
     least_documents: int = 5  # an n-gram in fewer labelled documents is left untrained
-    folds: int = 4  # that calibrate
+    folds: int = 3  # that calibrate
     seed: int = 8
 
 
@@ -107,40 +108,50 @@ def counted(texts: list[str | None], settings: ToxicitySettings) -> tuple[np.nda
 
 
 def _bags(texts: list[str | None], settings: ToxicitySettings) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(buckets, counts) of each text."""
+    """(buckets, counts) of each text, by ascending bucket."""
     owner, bucket, count = counted(texts, settings)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
-    return [(bucket[a:b].astype(np.int32), count[a:b].astype(np.float32)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [(bucket[a:b], count[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def packed(buckets: np.ndarray, counts: np.ndarray) -> bytes:
+    """A bag as compressed bytes: steps between buckets and counts, the low bytes of all first."""
+    numbers = np.stack([np.diff(buckets, prepend=0), counts]).astype("<u4")
+    return zlib.compress(numbers.view(np.uint8).reshape(2, -1, 4).transpose(2, 0, 1).tobytes(), 1)
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, 2, -1)
+    steps, counts = np.ascontiguousarray(planes.transpose(1, 2, 0)).view("<u4")[..., 0].astype(np.int64)
+    return np.cumsum(steps), counts
 
 
 class SpilledBags:
-    """Bags in a temporary file of the task, which leaves no name behind; in memory are their
+    """Packed bags in a temporary file of the task, which leaves no name behind; in memory are their
     places and labels."""
 
     def __init__(self) -> None:
         self.file = tempfile.TemporaryFile()
-        self.places: list[tuple[int, bytes, int, int, int]] = []  # order, digest, start, length, label
+        self.places: list[tuple[int, bytes, int, int, int]] = []  # order, digest, label, start, length
 
-    def add(self, buckets: bytes, counts: bytes, label: int, order: int) -> None:
-        self.places.append((order, hashlib.md5(buckets + counts).digest(), self.file.tell(), len(buckets), label))
-        self.file.write(buckets)
-        self.file.write(counts)
+    def add(self, bag: bytes, label: int, order: int) -> None:
+        self.places.append((order, hashlib.md5(bag).digest(), label, self.file.tell(), len(bag)))
+        self.file.write(bag)
 
     def sort(self) -> None:
         """An order that doesn't depend on how the bags arrived."""
-        self.places.sort(key=lambda p: (*p[:2], p[4]))
+        self.places.sort(key=lambda p: p[:3])
 
     def labels(self) -> np.ndarray:
-        return np.array([p[4] for p in self.places], np.int64)
+        return np.array([p[2] for p in self.places], np.int64)
 
     def __len__(self) -> int:
         return len(self.places)
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        _, _, start, length, _ = self.places[i]
+        *_, start, length = self.places[i]
         self.file.seek(start)
-        both = self.file.read(2 * length)
-        return np.frombuffer(both, np.int32, length // 4), np.frombuffer(both, np.float32, offset=length)
+        return unpacked(self.file.read(length))
 
 
 @dataclass
@@ -186,13 +197,11 @@ def train(bags: SpilledBags, settings: ToxicitySettings) -> ToxicityModel:
     numbering = np.cumsum(known) - 1
     rarity = np.where(known, np.log((len(bags) + 1) / np.maximum(seen, 1)), 0)
 
-    averages = SpilledBags()
-    for i in range(len(bags)):
+    def averaged(i: int) -> tuple[np.ndarray, np.ndarray]:
         b, c = bags[i]
         w = c * rarity[b]
         of_known = known[b]
-        share = settings.scale * w[of_known] / (w.sum() + settings.padding + 1e-9)
-        averages.add(numbering[b[of_known]].astype(np.int32).tobytes(), share.astype(np.float32).tobytes(), int(labels[i]), i)
+        return numbering[b[of_known]], settings.scale * w[of_known] / (w.sum() + settings.padding + 1e-9)
 
     size = int(known.sum())
     of_ones = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
@@ -205,7 +214,7 @@ def train(bags: SpilledBags, settings: ToxicitySettings) -> ToxicityModel:
         order = random.permutation(len(bags))
         for at in range(0, len(order), settings.batch):
             chosen = order[at : at + settings.batch]
-            batch = [averages[i] for i in chosen]
+            batch = [averaged(i) for i in chosen]
             gram = np.concatenate([b for b, _ in batch])
             owner = np.repeat(np.arange(len(chosen)), [len(b) for b, _ in batch])
             _, gradients = losses(*parameters, (owner, gram, np.concatenate([c for _, c in batch])), labels[chosen])
@@ -264,15 +273,15 @@ def _model(known: DataFrame, settings: ToxicitySettings, weights: tuple[float, f
         for batch in batches:
             for piece in byte_slices(batch, "body", SLICE_BYTES):
                 made = _bags(piece.column(0).to_pylist(), settings)
-                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b, _ in made], pa.binary()), pa.array([c.tobytes() for _, c in made], pa.binary()), piece.column(1), piece.column(2)], names=["b", "c", "y", "o"])
+                yield pa.RecordBatch.from_arrays([pa.array([packed(*bag) for bag in made], pa.binary()), piece.column(1), piece.column(2)], names=["bag", "y", "o"])
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, tuple[SpilledBags, SpilledBags]] = {}
         for batch in batches:
-            for number, b, c, y, o in zip(*batch.columns, strict=True):
+            for number, bag, y, o in zip(*batch.columns, strict=True):
                 number, order = number.as_py(), o.as_py()
                 learned, rest = sets.setdefault(number, (SpilledBags(), SpilledBags()))
-                (rest if _fold(order, settings.folds) == number else learned).add(b.as_py(), c.as_py(), y.as_py(), order)
+                (rest if _fold(order, settings.folds) == number else learned).add(bag.as_py(), y.as_py(), order)
         for number, (learned, rest) in sets.items():
             learned.sort()
             rest.sort()
@@ -288,10 +297,10 @@ def _model(known: DataFrame, settings: ToxicitySettings, weights: tuple[float, f
             columns = [pa.array([number], pa.int32()), pa.array([row[0]], pa.binary()), pa.array([row[1]], pa.binary()), pa.array([row[2]], pa.float64()), pa.array([row[3]], pa.list_(pa.float64())), pa.array([row[4]], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["model", "rarity", "pull", "bias", "odds", "labels"])
 
-    made = known.select("body", "y", "o").mapInArrow(bags, "b binary, c binary, y int, o long")
+    made = known.select("body", "y", "o").mapInArrow(bags, "bag binary, y int, o long")
     every = F.explode(F.sequence(F.lit(0), F.lit(settings.folds))).alias("model")
     # The sample is bounded by most_documents, so one task may train a model on it.
-    trained = made.select(every, "b", "c", "y", "o").repartition(settings.folds + 1, "model").mapInArrow(fit, "model int, rarity binary, pull binary, bias double, odds array<double>, labels array<long>")
+    trained = made.select(every, "bag", "y", "o").repartition(settings.folds + 1, "model").mapInArrow(fit, "model int, rarity binary, pull binary, bias double, odds array<double>, labels array<long>")
     found = {r["model"]: r for r in trained.collect()}
     if 0 not in found:
         return None
