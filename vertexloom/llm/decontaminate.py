@@ -9,7 +9,9 @@ position, and the removal spans of a document are merged.
 
 A stretch of words of the benchmark that is shorter than the shortest phrase can't hold an
 occurrence and is left out of the index; this loses nothing. Phrases reach the tasks in blocks of
-bounded size (``block_words``); the spans found for several blocks are merged.
+bounded size (``block_words``), one at a time: each block is a pass of its own that adds to the
+written result of the one before, so neither the driver nor a task holds a second block. A
+benchmark of one block, the usual case, takes one pass and writes nothing in between.
 
 Defined cases: null and empty texts have no words, no spans and aren't contaminated; items whose
 text is null, empty or without words, or whose id is null, contribute nothing; repeated item ids
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALPHANUMERIC, binary_texts, byte_slices, row_texts
+from .common import ALPHANUMERIC, binary_texts, byte_slices, carried_row, discard, materialize, row_texts
 
 SHARD_BYTES = 4 << 20
 SAMPLED_EVERY = 8
@@ -228,14 +230,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     occurrences of a ``window`` of an item, their merged spans and the sorted ids of the items.
     ``with_row`` adds the whole input row as the struct ``row``.
 
-    One pass over the documents without a shuffle; each block of phrases is a step of it that adds
-    to what the steps before have found."""
-    # A row travels once: its text is read from it.
-    at = docs.columns.index(text_col) if with_row else None
-    carried = F.struct(*docs.columns).alias("row") if with_row else F.col(text_col).alias("body")
+    A pass over the documents without a shuffle for each block of phrases."""
+    carried, at = carried_row(docs, text_col, with_row)
     rows = docs.select(F.col(id_col).alias("id"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast(_SPAN).alias("spans"), F.array().cast("array<string>").alias("items"), carried)
     context = docs.sparkSession.sparkContext
+    sent = None
     for phrases in _blocks(benchmark, item_col, item_text_col, window, block_words):
+        if sent is not None:
+            earlier, rows = rows, materialize(rows, "spans")
+            discard(earlier)
+            sent.destroy()
         sent = context.broadcast(phrases)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
