@@ -123,7 +123,7 @@ def test_odd_rows(spark):
 def test_language_odd_rows(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the house and the river", "en"), ("das haus und der fluss", "de"), ("la maison et la rivière", "fr")] * 10)]
     docs = documents(spark, [*rows, *[(d and d + 1000, t, None) for d, t in ODD]], extra=True)
-    found = languages(docs, F.lit(False), LanguageSettings(documents_per_language=10))
+    found = languages(docs, F.lit(False), LanguageSettings())
     out = found.collect()
     assert len(out) == len(rows) + len(ODD)
     und = {r["doc_id"] for r in out if r["lang_pred"] == "und"}
@@ -134,6 +134,100 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in languages(docs, F.lit(True)).collect()} == {"und"}
 
 
+def plain_kneser_ney(grams, order):
+    """p(character | context) of one language as a function, from counts of whole n-grams."""
+    levels = {order: dict(grams)}
+    for n in range(order - 1, 0, -1):
+        levels[n] = {}
+        for g in levels[n + 1]:
+            levels[n][g[1:]] = levels[n].get(g[1:], 0) + 1
+    characters = len(levels[1]) + 1
+
+    def p(text):
+        if not text:
+            return 1 / characters
+        counts = levels[len(text)]
+        same = {g: c for g, c in counts.items() if g[:-1] == text[:-1]}
+        if not same:
+            return p(text[1:])
+        ones, twos = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        d = min(0.9, max(0.1, ones / max(ones + 2 * twos, 1)))
+        total = sum(same.values())
+        return max(same.get(text, 0) - d, 0) / total + d * len(same) / total * p(text[1:])
+
+    return p
+
+
+@pytest.mark.parametrize("most", [10**6, 12])
+def test_language_models_are_kneser_ney(spark, most):
+    from vertexloom.llm.language import LanguageModels, _counts
+
+    rng = random.Random(4)
+    texts_ = {"aa": ["".join(rng.choice("abc d") for _ in range(60)) for _ in range(4)], "bb": ["".join(rng.choice("xyaé") for _ in range(50)) for _ in range(3)]}
+    settings = LanguageSettings(order=3, most_grams=most)
+    df = spark.createDataFrame([(t, lang) for lang, ts in texts_.items() for t in ts], "body string, lang string")
+    counts = _counts(df, 3)
+    models = LanguageModels.fit(counts, settings)
+    letters = "abcdxyé "
+    for column, lang in enumerate(models.languages):
+        grams = {r["gram"]: r["n"] for r in counts.where(F.col("lang") == lang).collect()}
+        plain = plain_kneser_ney(grams, 3)
+        known = sorted({g[-1] for g in grams})
+
+        def p(text, column=column):
+            out = 1 / models.characters
+            for n in range(1, 4):
+                tail, context = text[-n:], text[-n:-1] if n > 1 else ""
+                out = value(models.grams[n - 1], tail, n, column, 0.0) + value(models.contexts[n - 1], context, n - 1, column, 1.0) * out
+            return out
+
+        for context in [a + b for a in letters for b in letters]:
+            if most > 100:
+                for c in known:
+                    # The lowest order shares the characters of all languages.
+                    own = plain(context + c)
+                    assert abs(p(context + c) - own) < 0.02 + own * 0.3 or len(known) != models.characters - 1
+            # Every distribution sums to 1 over the known characters and one that stands for the rest.
+            every = sorted({g[-1] for r in counts.collect() for g in [r["gram"]]})
+            total = sum(p(context + c) for c in every) + p(context + "Ω")
+            assert abs(total - 1) < 1e-5
+
+
+def value(table, text, n, column, missing):
+    from vertexloom.llm.language import _hashes_of
+
+    at = np.flatnonzero(table[0] == _hashes_of([text], n)[0])
+    return float(table[1][at[0], column]) if len(at) else missing
+
+
+def test_language_of_one_model_equals_plain_probabilities(spark):
+    from vertexloom.llm.language import LanguageModels, _counts
+
+    rng = random.Random(7)
+    texts_ = ["".join(rng.choice("abc d") for _ in range(60)) for _ in range(5)]
+    counts = _counts(spark.createDataFrame([(t, "aa") for t in texts_], "body string, lang string"), 3)
+    models = LanguageModels.fit(counts, LanguageSettings(order=3))
+    plain = plain_kneser_ney({r["gram"]: r["n"] for r in counts.collect()}, 3)
+    entropy, n, _ = models.cross_entropies(["abba cab dd", "zzz"])
+    for text, e in zip(["abba cab dd", "zzz"], entropy[:, 0], strict=True):
+        full = "  " + text + " "
+        grams = [full[i : i + 3] for i in range(len(full) - 2)]
+        assert abs(e - np.mean([-np.log(plain(g)) for g in grams])) < 1e-5
+
+
+def test_rare_letters_are_letters(spark):
+    docs = documents(spark, [(i, "\U00030000\U00030001\U00030002 " * 5, "zh") for i in range(4)] + [(9 + i, "the house", "en") for i in range(4)] + [(50, "\U00030001\U00030002", "zh")])
+    found = {r["doc_id"]: r["lang_pred"] for r in languages(docs, F.col("doc_id") == 50).collect()}
+    assert found[50] == "zh"
+
+
+def test_a_row_without_language_teaches_nothing(spark):
+    rows = [(1, "aaa bbb aaa", "xx"), (1, "ccc ddd ccc", None)] * 3 + [(2, "eee fff eee", "yy")] * 3 + [(3, "ccc ddd", None), (4, "fff", None)]
+    found = languages(documents(spark, rows), F.lit(False)).where("doc_id = 3").collect()
+    other = languages(documents(spark, [r for r in rows if r[1] != "ccc ddd ccc"]), F.lit(False)).where("doc_id = 3").collect()
+    assert [tuple(r) for r in found] == [tuple(r) for r in other]
+
+
 def test_isotonic():
     centres, values = pool_adjacent_violators(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]), np.ones(4))
     assert values.tolist() == [0, 0.5, 1] and centres.tolist() == [1, 2.5, 4]
