@@ -112,3 +112,36 @@ def test_links_within_a_block():
     linked = np.zeros((6, 6), bool)
     linked[0, 3] = linked[4, 5] = True
     assert joined_labels(np.array([2, 2, 1, 1, 3, 0]), linked | linked.T).tolist() == [0, 1, 1, 0]
+
+
+def test_bitmaps_rule_out_no_link():
+    import numpy as np
+
+    from vertexloom.llm.near_duplicates import bitmap, links_within, may_link
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**64, 3000, np.uint64)
+    sets = [np.unique(np.concatenate([base[: n - n * k // 100], rng.integers(0, 2**64, n * k // 100, np.uint64)])) for n in (1, 2, 5, 9, 60, 64, 65, 70, 500, 520, 600, 2900) for k in (0, 5, 11, 15, 60)]
+    linked = links_within(sets, 80)
+    labels = np.arange(len(sets))
+    keep = may_link([np.frombuffer(bitmap(s), np.uint8) for s in sets], np.array([len(s) for s in sets]), labels, 80)
+    linked[labels, labels] = False
+    assert (keep >= linked.any(axis=1)).all() and not keep.all()
+    assert not may_link([np.frombuffer(bitmap(s), np.uint8) for s in sets], np.array([len(s) for s in sets]), np.zeros(len(sets), int), 80).any()
+
+
+def test_rows_shipped_grow_with_the_bucket(spark):
+    """Documents that share a template, and a band, but no link: their sets don't travel."""
+    import vertexloom.llm.near_duplicates as n
+
+    shipped = []
+    for size in (30, 300):
+        rng = random.Random(size)
+        template = [f"w{i}" for i in range(80)]
+        rows = [(i, " ".join(template + [f"y{i}-{j}" for j in range(40)])) for i in range(size)]
+        found = n.near_duplicates(documents(spark, rows), NearDuplicateSettings(shingle_words=4, band_rows=1))
+        assert found.where("kept").count() == size
+        sets = n._sets_of(documents(spark, rows).selectExpr("doc_id AS id", "text AS body"), spark.range(size).select("id"), False, NearDuplicateSettings(shingle_words=4))
+        prefixes = n._prefix_members(spark.range(size).withColumnRenamed("id", "node"), sets, NearDuplicateSettings(shingle_words=4))
+        shipped.append(n._groups_to_compare(prefixes, spark.createDataFrame([], "node bigint, label bigint")).count())
+    assert shipped[1] <= 10 * shipped[0]

@@ -10,9 +10,10 @@ every node is compared with the bucket's smallest node first, and nodes that lin
 label. Buckets whose nodes then have one label are settled, as further links can't change their
 component. What is left of the other buckets is found by prefixes: two sets of the wanted
 similarity share one of each other's rarest shingles, as many as a fifth of the set and one more,
-so nodes of one such shingle and of different labels meet in blocks of bounded size, which are
-compared by products of small matrices of full sets. What comes out are the labels that links
-join, not the pairs. Shingles of a template that many unlinked documents share are the most
+so nodes of one such shingle and of different labels meet in blocks of bounded size. A block is
+compared twice: by bitmaps of a few bits a shingle, which bound the common shingles of two sets from
+above, and then, for the nodes that have a partner within the bound, by products of small matrices
+of full sets. What comes out are the labels that links join, not the pairs. Shingles of a template that many unlinked documents share are the most
 frequent and not in the prefixes, so such a bucket costs no more than its prefixes. All that the
 bands propose is confirmed or already connected, without emitting the pairs within a group of
 copies.
@@ -42,7 +43,7 @@ from .common import SPACED, binary_texts, byte_slices, discard, materialize, spr
 from .components import connected_components
 
 SLICE_BYTES = 2 << 20
-BLOCK_NODES = 1024
+BLOCK_NODES = 512
 BLOCK_SHINGLES = 1 << 20
 MATRIX_COLUMNS = 8192
 
@@ -165,7 +166,7 @@ def _signatures(rows: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
 
 
 def _sets_of(rows: DataFrame, ids: DataFrame, repeated: bool, settings: NearDuplicateSettings) -> DataFrame:
-    """(id, shingles) of the documents named in ``ids``, the sets as bytes; a row for each set of an
+    """(id, shingles, bits) of the documents named in ``ids``, the sets as bytes; a row for each set of an
     id. Texts aren't shuffled to tell repeated rows apart, their sets are, where there are any."""
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -173,9 +174,9 @@ def _sets_of(rows: DataFrame, ids: DataFrame, repeated: bool, settings: NearDupl
         for batch in batches:
             for piece in byte_slices(batch, "body", SLICE_BYTES):
                 found = shingle_sets(binary_texts(piece, "body"), settings.shingle_words)
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bitmap(s) for s in found], pa.binary())], names=["id", "shingles", "bits"])
 
-    made = rows.join(ids, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary")
+    made = rows.join(ids, "id", "left_semi").mapInArrow(sets, f"id {kind}, shingles binary, bits binary")
     return made.dropDuplicates(["id", "shingles"]) if repeated else made
 
 
@@ -202,6 +203,40 @@ def links_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return 100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each value of the upper bits of the shingles, two to four bits a shingle."""
+    power = max(3, int(2 * len(shingles) - 1).bit_length()) if len(shingles) else 3
+    bits = np.zeros(1 << power, bool)
+    bits[shingles >> np.uint64(64 - power)] = True
+    return np.packbits(bits).tobytes()
+
+
+def _halved(bits: np.ndarray) -> np.ndarray:
+    """The bitmap of half as many bits."""
+    return np.packbits(np.unpackbits(bits).reshape(-1, 2).max(axis=1))
+
+
+def may_link(bitmaps: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int) -> np.ndarray:
+    """Which nodes have a partner of another label that the bitmaps don't rule out. Sets of similar
+    sizes have bitmaps of one length, or of lengths that differ by the factor 2."""
+    out = np.zeros(len(sizes), bool)
+    lengths = np.array([len(b) for b in bitmaps])
+    for length in np.unique(lengths):
+        at = np.flatnonzero((lengths == length) | (lengths == 2 * length))
+        same = np.stack([bitmaps[i] if lengths[i] == length else _halved(bitmaps[i]) for i in at])
+        shared = np.zeros((len(at), len(at)), np.float32)
+        for start in range(0, length, MATRIX_COLUMNS // 8):
+            part = np.unpackbits(same[:, start : start + MATRIX_COLUMNS // 8], axis=1).astype(np.float32)
+            shared += part @ part.T
+        # A bit that only one of two sets has stands for a shingle that only this one has.
+        most = sizes[at][:, None] - np.diag(shared)[:, None] + shared
+        most = np.minimum(most, most.T)
+        both = sizes[at][:, None] + sizes[at][None, :]
+        fits = (100 * most >= percent * (both - most)) & (labels[at][:, None] != labels[at][None, :])
+        out[at] |= fits.any(axis=1)
+    return out
+
+
 def joined_labels(labels: np.ndarray, linked: np.ndarray) -> np.ndarray:
     """For every label (0, 1, ...), the smallest label that links between its nodes and others reach."""
     n = labels.max() + 1
@@ -280,7 +315,7 @@ def _prefix_members(nodes: DataFrame, sets: DataFrame, settings: NearDuplicateSe
             ends = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in full])]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate([*full, np.zeros(0, np.int64)])))], names=["node", "tokens"])
 
-    tokens = sets.withColumnRenamed("id", "node").join(nodes, "node", "left_semi").mapInArrow(listed, f"node {kind}, tokens array<long>")
+    tokens = sets.select(F.col("id").alias("node"), "shingles").join(nodes, "node", "left_semi").mapInArrow(listed, f"node {kind}, tokens array<long>")
     tokens = materialize(tokens.select("node", F.size("tokens").alias("size"), F.explode("tokens").alias("token")), "tokens")
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     by_node = spread_join(tokens, shared, ["token"], "n", tokens.count()).groupBy("node", "size").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("rarest"))
@@ -295,15 +330,22 @@ def _prefix_members(nodes: DataFrame, sets: DataFrame, settings: NearDuplicateSe
 
 
 def _across(rows: DataFrame, sets: DataFrame, settings: NearDuplicateSettings) -> DataFrame:
-    """Pairs of labels that links between nodes of a bucket join. A bucket's nodes are dealt to
+    """Pairs of labels that links between nodes of a group join. A group's nodes are dealt to
     blocks, and every two blocks meet in a group of their own."""
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = ["band", "lo", "hi"]
-    dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label")
-    dealt = dealt.join(sets.select(F.col("id").alias("node"), "shingles"), "node").select(*key, "label", "shingles")
+    dealt = dealt.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "label", "size")
     kind = rows.schema["node"].dataType.simpleString()
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            labels = group.column(4).dictionary_encode()
+            if len(labels.dictionary) > 1:
+                bits = [np.frombuffer(x.as_buffer(), np.uint8) for x in group.column(6)]
+                keep = may_link(bits, group.column(5).to_numpy(), labels.indices.to_numpy(), settings.similarity_percent)
+                yield group.select([0, 1, 2, 3, 4]).filter(pa.array(keep))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             names = group.column(3).dictionary_encode()
@@ -315,7 +357,11 @@ def _across(rows: DataFrame, sets: DataFrame, settings: NearDuplicateSettings) -
             if len(moved):
                 yield pa.RecordBatch.from_arrays([names.dictionary.take(pa.array(moved)), names.dictionary.take(pa.array(root[moved]))], names=["a", "b"])
 
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, f"a {kind}, b {kind}")
+    named = sets.withColumnRenamed("id", "node")
+    sifted = dealt.join(named.select("node", "bits"), "node").select(*key, "node", "label", "size", "bits").repartition(*key).sortWithinPartitions(*key)
+    sifted = materialize(sifted.mapInArrow(sift, f"band long, lo int, hi int, node {kind}, label {kind}"), "sifted")
+    left = sifted.join(named.select("node", "shingles"), "node").select(*key, "label", "shingles").repartition(*key).sortWithinPartitions(*key)
+    return left.mapInArrow(compare, f"a {kind}, b {kind}")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
