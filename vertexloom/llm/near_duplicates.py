@@ -204,8 +204,8 @@ def links_within(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
-    """A bit for each value of the upper bits of the shingles, two to four bits a shingle."""
-    power = max(3, int(2 * len(shingles) - 1).bit_length()) if len(shingles) else 3
+    """A bit for each value of the upper bits of the shingles, four to eight bits a shingle."""
+    power = max(3, int(4 * len(shingles) - 1).bit_length()) if len(shingles) else 3
     bits = np.zeros(1 << power, bool)
     bits[shingles >> np.uint64(64 - power)] = True
     return np.packbits(bits).tobytes()
