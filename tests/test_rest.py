@@ -159,3 +159,24 @@ def test_sinks(spark, tmp_path):
         markdown_rows(rows.select(F.array("k").alias("x")))
     write_objects(spark.createDataFrame([("{}",)], "object string"), str(tmp_path / "o"))
     assert spark.read.text(str(tmp_path / "o")).collect()[0][0] == "{}"
+
+
+def test_uuid_bytes_are_spelt_in_lower_case(spark):
+    value = bytes.fromhex("00112233445566778899AABBCCDDEEFF")
+    assert spelt(spark, [value, None], "binary") == ['"00112233-4455-6677-8899-aabbccddeeff"', None]
+    with pytest.raises(Exception, match="a UUID has 16 bytes, not 3"):
+        spelt(spark, [b"abc"], "binary")
+
+
+def test_times_without_a_zone_are_read_as_utc(spark):
+    from vertexloom.sources.tables import in_utc
+
+    rows = spark.createDataFrame([(datetime.datetime(2020, 1, 2, 3, 4, 5, 60),)], "at timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for other in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", other)
+            read = in_utc(rows)
+            assert read.select(canonical(F.col("at"), read.schema["at"].dataType)).first()[0] == '"2020-01-02T03:04:05.00006Z"'
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

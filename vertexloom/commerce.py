@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .plans.graph import Check, Column, Direction, EdgeElement, Interface, PropertyGraph, Relationship, VertexType
-from .sources.tables import Tables
+from .sources.tables import Tables, in_utc
 
 IN = Direction.IN
 LINE_KEY = ("l_orderkey", "l_partkey", "l_suppkey")
 
 GRAPH = PropertyGraph(
     vertices=[
-        VertexType("Region", "region", ("r_regionkey",), {"key": "r_regionkey", "name": "r_name"}, {"nations": Relationship("in_region", "Nation", IN)}),
+        VertexType("Region", "region", ("r_regionkey",), {"key": "r_regionkey", "name": "r_name"}, {"nations": Relationship("in_region", "Nation", IN)}, key_unique=True),
         VertexType(
             "Nation",
             "nation",
             ("n_nationkey",),
             {"key": "n_nationkey", "name": "n_name"},
             {"region": Relationship("in_region", "Region"), "customers": Relationship("in_nation", "Customer", IN), "suppliers": Relationship("in_nation", "Supplier", IN)},
+            key_unique=True,
         ),
         VertexType(
             "Customer",
@@ -29,15 +30,17 @@ GRAPH = PropertyGraph(
             unique=(("c_name",),),
             checks=(Check("customer_balance_check", "c_acctbal > -1000"), Check("customer_solvent_check", "c_acctbal >= 0")),
             columns={"c_custkey": Column("bigint", nullable=False), "c_name": Column("string", nullable=False)},
+            key_unique=True,
         ),
-        VertexType("Supplier", "supplier", ("s_suppkey",), {"key": "s_suppkey", "name": "s_name", "balance": "s_acctbal"}, {"nation": Relationship("in_nation", "Nation"), "lines": Relationship("supplied_by", "Line", IN)}),
-        VertexType("Part", "part", ("p_partkey",), {"key": "p_partkey", "name": "p_name", "brand": "p_brand", "size": "p_size", "price": "p_retailprice"}, {"lines": Relationship("of_part", "Line", IN)}),
+        VertexType("Supplier", "supplier", ("s_suppkey",), {"key": "s_suppkey", "name": "s_name", "balance": "s_acctbal"}, {"nation": Relationship("in_nation", "Nation"), "lines": Relationship("supplied_by", "Line", IN)}, key_unique=True),
+        VertexType("Part", "part", ("p_partkey",), {"key": "p_partkey", "name": "p_name", "brand": "p_brand", "size": "p_size", "price": "p_retailprice"}, {"lines": Relationship("of_part", "Line", IN)}, key_unique=True),
         VertexType(
             "Order",
             "orders",
             ("o_orderkey",),
             {"key": "o_orderkey", "status": "o_orderstatus", "total": "o_totalprice", "date": "o_orderdate", "priority": "o_orderpriority"},
             {"customer": Relationship("placed", "Customer", IN), "lines": Relationship("has_line", "Line")},
+            key_unique=True,
         ),
         VertexType(
             "Line",
@@ -46,13 +49,13 @@ GRAPH = PropertyGraph(
             {"number": "l_linenumber", "quantity": "l_quantity", "price": "l_extendedprice", "returned": "l_returnflag"},
             {"order": Relationship("has_line", "Order", IN), "part": Relationship("of_part", "Part"), "supplier": Relationship("supplied_by", "Supplier")},
         ),
-        VertexType("Event", "events", ("event_id",), {"key": "event_id", "kind": "event_type", "value": "value", "props": "props"}, {"customer": Relationship("did", "Customer", IN)}),
-        VertexType("Document", "documents", ("doc_id",), {"key": "doc_id", "language": "lang", "source": "source", "characters": "n_chars"}, {"marks": Relationship("labelled", "Label")}),
-        VertexType("Label", "labels", ("doc_id",), {"quality": "quality", "toxic": "toxic"}),
+        VertexType("Event", "events", ("event_id",), {"key": "event_id", "kind": "event_type", "value": "value", "props": "props"}, {"customer": Relationship("did", "Customer", IN)}, key_unique=True),
+        VertexType("Document", "documents", ("doc_id",), {"key": "doc_id", "language": "lang", "source": "source", "characters": "n_chars"}, {"marks": Relationship("labelled", "Label")}, key_unique=True),
+        VertexType("Label", "labels", ("doc_id",), {"quality": "quality", "toxic": "toxic"}, key_unique=True),
         VertexType("Turn", "conversations", ("conv_id", "turn"), {"conversation": "conv_id", "turn": "turn", "role": "role"}),
-        VertexType("Vector", "embeddings", ("vec_id",), {"key": "vec_id", "values": "embedding", "label": "label"}),
-        VertexType("Page", "pages", ("page_id",), {"key": "page_id", "address": "url"}),
-        VertexType("Item", "benchmark", ("item_id",), {"key": "item_id"}),
+        VertexType("Vector", "embeddings", ("vec_id",), {"key": "vec_id", "values": "embedding", "label": "label"}, key_unique=True),
+        VertexType("Page", "pages", ("page_id",), {"key": "page_id", "address": "url"}, key_unique=True),
+        VertexType("Item", "benchmark", ("item_id",), {"key": "item_id"}, key_unique=True),
     ],
     edges=[
         EdgeElement("in_region", "nation", "Nation", ("n_nationkey",), "Region", ("n_regionkey",)),
@@ -70,4 +73,4 @@ GRAPH = PropertyGraph(
 
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables.in_directory(spark, sf_dir)
+    return Tables.in_directory(spark, sf_dir, resolve=in_utc)

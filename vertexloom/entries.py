@@ -13,11 +13,12 @@ from .functions.registry import rows
 from .operators.constraints import constraint_report, dangling_edges
 from .operators.describe import describe
 from .operators.evolve import evolve
-from .operators.match import match
+from .operators.match import Matcher, match
 from .operators.respond import Responder
 from .plans.graph import Column, VertexType
 from .plans.query import Level, Param
 from .sources.sinks import markdown_rows
+from .sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,18 +59,18 @@ FLAT: dict[str, tuple[Level, dict, str]] = {
     "chain_inner_drops_parent": (
         L("Customer", "name", follow=[L("orders", "total", follow=[L("lines", "number")])]),
         {},
-        "SELECT c_custkey AS v0_k, c_name AS v0_c0, o_orderkey AS v1_k, o_totalprice AS v1_c0, l_orderkey AS v2_k0, l_partkey AS v2_k1, l_suppkey AS v2_k2, l_linenumber AS v2_c0 FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey",
+        "SELECT c_custkey AS v0_k, c_name AS v0_c0, o_orderkey AS v1_k, o_totalprice AS v1_c0, l_orderkey AS v2_k0, l_partkey AS v2_k1, l_suppkey AS v2_k2, v.l_linenumber AS v2_c0 FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem e ON e.l_orderkey = o_orderkey JOIN lineitem v USING (l_orderkey, l_partkey, l_suppkey)",
     ),
     "composite_identity": (L("Turn", "role"), {}, "SELECT conv_id AS v0_k0, turn AS v0_k1, role AS v0_c0 FROM conversations"),
     "composite_chain": (
         L("Order", "total", where={"status": "P"}, follow=[L("lines", "quantity", follow=[L("part", "name")])]),
         {},
-        "SELECT o_orderkey AS v0_k, o_totalprice AS v0_c0, l_orderkey AS v1_k0, l_partkey AS v1_k1, l_suppkey AS v1_k2, l_quantity AS v1_c0, p_partkey AS v2_k, p_name AS v2_c0 FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus = 'P'",
+        "SELECT o_orderkey AS v0_k, o_totalprice AS v0_c0, v.l_orderkey AS v1_k0, v.l_partkey AS v1_k1, v.l_suppkey AS v1_k2, v.l_quantity AS v1_c0, p_partkey AS v2_k, p_name AS v2_c0 FROM orders JOIN lineitem e ON e.l_orderkey = o_orderkey JOIN lineitem v ON v.l_orderkey = e.l_orderkey AND v.l_partkey = e.l_partkey AND v.l_suppkey = e.l_suppkey JOIN lineitem f ON f.l_orderkey = v.l_orderkey AND f.l_partkey = v.l_partkey AND f.l_suppkey = v.l_suppkey JOIN part ON p_partkey = f.l_partkey WHERE o_orderstatus = 'P'",
     ),
     "two_labels_one_table": (
         L("Line", "number", where={"returned": "R"}, follow=[L("part", "name"), L("supplier", "name")]),
         {},
-        "SELECT l_orderkey AS v0_k0, l_partkey AS v0_k1, l_suppkey AS v0_k2, l_linenumber AS v0_c0, p_partkey AS v2_k, p_name AS v2_c0, s_suppkey AS v4_k, s_name AS v4_c0 FROM lineitem LEFT JOIN part ON p_partkey = l_partkey LEFT JOIN supplier ON s_suppkey = l_suppkey WHERE l_returnflag = 'R'",
+        "SELECT v.l_orderkey AS v0_k0, v.l_partkey AS v0_k1, v.l_suppkey AS v0_k2, v.l_linenumber AS v0_c0, p_partkey AS v2_k, p_name AS v2_c0, s_suppkey AS v4_k, s_name AS v4_c0 FROM lineitem v LEFT JOIN (lineitem e JOIN part ON p_partkey = e.l_partkey) ON e.l_orderkey = v.l_orderkey AND e.l_partkey = v.l_partkey AND e.l_suppkey = v.l_suppkey LEFT JOIN (lineitem f JOIN supplier ON s_suppkey = f.l_suppkey) ON f.l_orderkey = v.l_orderkey AND f.l_partkey = v.l_partkey AND f.l_suppkey = v.l_suppkey WHERE v.l_returnflag = 'R'",
     ),
     "guard_self": (
         L("Customer", "name", where={"segment": "MACHINERY"}, follow=[L("nation", "name", follow=[L("customers", "name")])]),
@@ -120,7 +121,8 @@ FLAT: dict[str, tuple[Level, dict, str]] = {
 
 def _flat(name: str) -> Query:
     query, params, _ = FLAT[name]
-    return lambda spark, sf_dir: match(GRAPH, tables(spark, sf_dir), query, params)
+    # Rows in no order: a global sort is for results that are read in order, as ``ordered_rows``.
+    return lambda spark, sf_dir: Matcher(GRAPH, tables(spark, sf_dir), query, params).rows
 
 
 #: name -> (query, DuckDB SQL of the response's text)
@@ -139,16 +141,23 @@ SHAPED: dict[str, tuple[Level, str]] = {
     "shaped_branch": (
         L("Customer", "segment", where=BUILDING, key="customers", follow=[L("orders", "status"), L("events", "key")]),
         "WITH o AS (SELECT o_custkey AS k, " + _LIST.format("'{\"status\":\"' || o_orderstatus || '\"}'", "o_orderkey") + " AS l FROM orders GROUP BY 1), e AS (SELECT user_id AS k, "
-        + _LIST.format("'{\"key\":' || event_id || '}'", "event_id") + " AS l FROM events GROUP BY 1) SELECT '{\"customers\":' || "
-        + _LIST.format("'{\"events\":' || coalesce(e.l, '[]') || ',\"orders\":' || coalesce(o.l, '[]') || ',\"segment\":\"' || c_mktsegment || '\"}'", "c_custkey")
-        + " || '}' AS response FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN e ON e.k = c_custkey WHERE c_mktsegment = 'BUILDING'",
+        + _LIST.format("'{\"key\":' || event_id || '}'", "event_id") + " AS l FROM events GROUP BY 1) SELECT c_custkey AS v0_k, "
+        + "'{\"events\":' || coalesce(e.l, '[]') || ',\"orders\":' || coalesce(o.l, '[]') || ',\"segment\":\"' || c_mktsegment || '\"}' AS object"
+        + " FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN e ON e.k = c_custkey WHERE c_mktsegment = 'BUILDING'",
     ),
     "shaped_empty": (L("Part", "brand", where={"size": -1}, key="parts"), "SELECT '{\"parts\":[]}' AS response"),
 }
 
 
 def _shaped(name: str) -> Query:
-    return lambda spark, sf_dir: Responder(GRAPH, tables(spark, sf_dir), SHAPED[name][0]).response()
+    # A response is one row, so a query that grows with the customers gives an object for each.
+    whole = name != "shaped_branch"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        responder = Responder(GRAPH, tables(spark, sf_dir), SHAPED[name][0])
+        return responder.response() if whole else responder.objects()
+
+    return run
 
 
 def shaped_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,6 +226,50 @@ def described(spark: SparkSession, sf_dir: str) -> DataFrame:
     return describe(spark, GRAPH, tables(spark, sf_dir))
 
 
+def ordered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match(GRAPH, tables(spark, sf_dir), L("Nation", "name", follow=[L("region", "name")]))
+
+
+def shaped_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Responder(GRAPH, tables(spark, sf_dir), L("Part", ("title", "name"), ("width", "size"), where={"size": 15})).objects()
+
+
+def scalar_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Responder(GRAPH, tables(spark, sf_dir), L("Order", "date", where={"status": "P"})).objects()
+
+
+def scalar_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a language spell it null."""
+    read = tables(spark, sf_dir)
+    some = Tables.of({"documents": read("documents").withColumn("lang", F.when(F.col("lang") != "fr", F.col("lang")))})
+    return Responder(GRAPH, some, L("Document", "language")).objects()
+
+
+def guard_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two different lines of one order, told apart by a key of three columns."""
+    return Matcher(GRAPH, tables(spark, sf_dir), L("Line", "number", where={"returned": "R"}, follow=[L("order", "status", where={"status": "P"}, follow=[L("lines", "quantity")])])).rows
+
+
+def _missing(label: str, table: str, end: str, column: str, vertices: str, key: str) -> str:
+    return f"SELECT '{label}' AS label, '{table}' AS \"table\", '{end}' AS \"end\", count(*) AS dangling FROM {table} WHERE {column} NOT IN (SELECT {key} FROM {vertices} WHERE {key} IS NOT NULL)"
+
+
+_DANGLING = " UNION ALL ".join(
+    _missing(*x)
+    for x in [
+        ("in_region", "nation", "destination", "n_regionkey", "region", "r_regionkey"),
+        ("in_nation", "customer", "destination", "c_nationkey", "nation", "n_nationkey"),
+        ("in_nation", "supplier", "destination", "s_nationkey", "nation", "n_nationkey"),
+        ("placed", "orders", "source", "o_custkey", "customer", "c_custkey"),
+        ("has_line", "lineitem", "source", "l_orderkey", "orders", "o_orderkey"),
+        ("of_part", "lineitem", "destination", "l_partkey", "part", "p_partkey"),
+        ("supplied_by", "lineitem", "destination", "l_suppkey", "supplier", "s_suppkey"),
+        ("did", "events", "source", "user_id", "customer", "c_custkey"),
+        ("labelled", "labels", "source", "doc_id", "documents", "doc_id"),
+    ]
+)
+
+
 OTHERS: dict[str, tuple[Query, str | None]] = {
     "shaped_objects": (shaped_objects, None),
     "shaped_type_names": (shaped_type_names, "SELECT r_regionkey AS v0_k, '{\"__typename\":\"Region\",\"name\":\"' || r_name || '\"}' AS object FROM region"),
@@ -233,7 +286,15 @@ OTHERS: dict[str, tuple[Query, str | None]] = {
         constraint_counts,
         "SELECT 'customer' AS \"table\", x.* FROM (SELECT 'customer_c_custkey_key' AS \"constraint\", '23505' AS code, CAST(count(c_custkey) - count(DISTINCT c_custkey) AS BIGINT) AS broken FROM customer UNION ALL SELECT 'customer_c_name_unique', '23505', count(c_name) - count(DISTINCT c_name) FROM customer UNION ALL SELECT 'customer_balance_check', '23514', count(*) FILTER (c_acctbal <= -1000) FROM customer UNION ALL SELECT 'customer_solvent_check', '23514', count(*) FILTER (c_acctbal < 0) FROM customer UNION ALL SELECT 'customer_c_custkey_required', '23502', count(*) - count(c_custkey) FROM customer UNION ALL SELECT 'customer_c_name_required', '23502', count(*) - count(c_name) FROM customer) x",
     ),
-    "dangling_edges": (dangling, None),
+    "dangling_edges": (dangling, _DANGLING),
+    "ordered_rows": (ordered_rows, "SELECT n_nationkey AS v0_k, n_name AS v0_c0, r_regionkey AS v1_k, r_name AS v1_c0 FROM nation JOIN region ON r_regionkey = n_regionkey ORDER BY 1"),
+    "shaped_alias": (shaped_alias, "SELECT p_partkey AS v0_k, '{\"title\":\"' || p_name || '\",\"width\":' || p_size || '}' AS object FROM part WHERE p_size = 15"),
+    "scalar_time": (scalar_time, "SELECT o_orderkey AS v0_k, '{\"date\":\"' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || 'Z\"}' AS object FROM orders WHERE o_orderstatus = 'P'"),
+    "scalar_null": (scalar_null, "SELECT doc_id AS v0_k, CASE WHEN lang IS NULL OR lang = 'fr' THEN '{\"language\":null}' ELSE '{\"language\":\"' || lang || '\"}' END AS object FROM documents"),
+    "guard_composite": (
+        guard_composite,
+        "SELECT a.l_orderkey AS v0_k0, a.l_partkey AS v0_k1, a.l_suppkey AS v0_k2, a.l_linenumber AS v0_c0, o_orderkey AS v1_k, o_orderstatus AS v1_c0, b.l_orderkey AS v2_k0, b.l_partkey AS v2_k1, b.l_suppkey AS v2_k2, b.l_quantity AS v2_c0 FROM lineitem a JOIN lineitem e ON e.l_orderkey = a.l_orderkey AND e.l_partkey = a.l_partkey AND e.l_suppkey = a.l_suppkey JOIN orders ON o_orderkey = e.l_orderkey JOIN lineitem f ON f.l_orderkey = o_orderkey JOIN lineitem b ON b.l_orderkey = f.l_orderkey AND b.l_partkey = f.l_partkey AND b.l_suppkey = f.l_suppkey WHERE a.l_returnflag = 'R' AND o_orderstatus = 'P' AND (a.l_orderkey, a.l_partkey, a.l_suppkey) <> (b.l_orderkey, b.l_partkey, b.l_suppkey)",
+    ),
     "describe_graph": (described, None),
     "evolve_table": (evolved, "SELECT CAST(n_nationkey AS BIGINT) AS nation_id, n_name AS label, true AS active, CAST(NULL AS VARCHAR) AS note, n_regionkey FROM nation"),
     "markdown_rows": (markdown, "SELECT '| ' || r_regionkey || ' | ' || r_name || ' |' AS line FROM region"),

@@ -62,6 +62,14 @@ def moment(value: Column) -> Column:
     return F.concat(F.lit('"'), whole, F.when(fraction == "", "").otherwise(F.concat(F.lit("."), fraction)), F.lit('Z"'))
 
 
+def identifier(value: Column) -> Column:
+    """The sixteen bytes of a UUID as lower-case text."""
+    digits = F.lower(F.hex(value))
+    groups = [F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    refused = F.raise_error(F.concat(F.lit("a UUID has 16 bytes, not "), F.octet_length(value).cast("string"))).cast("string")
+    return F.when(value.isNull(), None).when(F.octet_length(value) == 16, F.concat(F.lit('"'), F.concat_ws("-", *groups), F.lit('"'))).otherwise(refused)
+
+
 class _Number(float):
     """A JSON number that keeps its spelling."""
 
@@ -108,6 +116,8 @@ def canonical(value: Column, kind: T.DataType, name: str = "", json_text: bool =
         return floating(value)
     if isinstance(kind, T.TimestampType):
         return moment(value)
+    if isinstance(kind, T.BinaryType):
+        return identifier(value)
     if isinstance(kind, T.ArrayType):
         items = F.transform(value, lambda x: F.coalesce(canonical(x, kind.elementType, name), F.lit("null")))
         return F.concat(F.lit("["), F.array_join(items, ","), F.lit("]"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from ..plans.graph import PropertyGraph
 from ..sources.tables import Tables
@@ -41,6 +42,6 @@ def drift(graph: PropertyGraph, tables: Tables, strict: bool = False) -> list[Fi
     for v in graph.vertices.values():
         for name, c in v.columns.items():
             kind = live.get(v.table, {}).get(name)
-            if kind and kind != c.kind.lower():
+            if kind and kind != tables(v.table).select(F.lit(None).cast(c.kind).alias("x")).dtypes[0][1]:
                 found.add(Finding("type_mismatch", v.table, f"{name} is {kind}, declared {c.kind}"))
     return sorted(found)

@@ -7,8 +7,8 @@ Positions that can bind the same row are guarded against it; a guard between fra
 the join's condition, where it turns a match into none instead of dropping the parent.
 
 Every edge is an equi-join of keys. Where an edge lies in the table of one of its ends and repeats
-that end's key, the key being unique, the vertex scan carries the edge's other key and no join of
-the table with itself is made. A branch doesn't read its branch point again, as the join with it
+that end's key, and the key is declared unique (``key_unique``), the vertex scan carries the edge's
+other key and no join of the table with itself is made. A branch doesn't read its branch point again, as the join with it
 implies that the row is there.
 
 Output columns: ``v<n>_k`` (or ``_k0``, ``_k1``, ...) is the key of position n and ``v<n>_c<m>`` its
@@ -26,7 +26,6 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import QueryError
 from ..plans.graph import Direction, EdgeElement, PropertyGraph, Relationship, VertexType
 from ..plans.query import MOST_DEPTH, Level, Param, validate
 from ..sources.tables import Tables
@@ -173,14 +172,14 @@ class Matcher:
 
     def _lies_with(self, owner: Position, rel: Relationship, far: bool) -> EdgeElement | None:
         """The one edge element of a hop, if it lies in the table of its far (near) end and repeats
-        that end's key."""
+        that end's key, which is unique."""
         elements = self.graph.elements(owner.owner, rel)
         if len(elements) != 1 or owner.tag:
             return None
         element = elements[0]
         type_, key = self._ends(element, rel.direction)[1 if far else 0]
         kind = self.graph.vertices[type_]
-        return element if element.table == kind.table and key == kind.key else None
+        return element if kind.key_unique and element.table == kind.table and key == kind.key else None
 
     def _edges(self, near: Position, far: Position, rel: Relationship, out: str) -> DataFrame:
         parts = []
@@ -284,7 +283,3 @@ def match(graph: PropertyGraph, tables: Tables, query: Level, params: Mapping[st
     """The flat rows of a query, ordered by every level's key."""
     return Matcher(graph, tables, query, params, most_depth).ordered()
 
-
-def check_columns(rows: DataFrame, matcher: Matcher) -> None:
-    if rows.columns != matcher.columns:
-        raise QueryError(f"the rows have the columns {rows.columns}, the query {matcher.columns}")

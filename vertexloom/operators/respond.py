@@ -47,6 +47,7 @@ class Responder:
         self.matcher = Matcher(graph, tables, query, params, most_depth)
         self.json_fields, self.type_names = json_fields, type_names
         self._joined: dict[int, DataFrame] = {}
+        self._fields_in_keys: dict[int, list[str]] = {}
 
     def _source(self, matched: Matched) -> DataFrame:
         home = matched.fragment
@@ -63,20 +64,27 @@ class Responder:
 
     def _level(self, matched: Matched, keys: list[str], fields: list[str]) -> DataFrame:
         """One row for each path to the level: the ``keys`` and ``fields`` above it, its own, and a
-        list for each relationship. Fields follow from keys, so rows are grouped by keys alone."""
-        keys, fields = [*keys, *self._keys(matched)], [*fields, *[c for _, _, c in matched.fields]]
+        list for each relationship. Fields follow from keys that are unique; where keys may repeat,
+        rows that differ in a field are objects of their own."""
+        own = [c for _, _, c in matched.fields]
+        keys = [*keys, *self._keys(matched)]
+        if all(t.key_unique for t in matched.position.types):
+            fields = [*fields, *own]
+        else:
+            keys = [*keys, *own]
+            self._fields_in_keys[id(matched)] = own
         if len(matched.children) == 1:
             return self._aggregated(matched.children[0], keys, fields)
         rows = self._source(matched).groupBy(*keys).agg(*[F.first(c).alias(c) for c in fields]) if fields else self._source(matched).select(*keys).distinct()
         for child in matched.children:
             lists = self._aggregated(child, self._path_keys(matched), [])
             renamed = lists.select(*[F.col(k).alias(f"{k}_of") for k in self._path_keys(matched)], self._list_column(child))
-            on = [F.col(k) == F.col(f"{k}_of") for k in self._path_keys(matched)]
+            on = [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in self._path_keys(matched)]
             rows = rows.join(renamed, on, "left").drop(*[f"{k}_of" for k in self._path_keys(matched)])
         return rows
 
     def _path_keys(self, matched: Matched) -> list[str]:
-        return [c for m in self._paths[id(matched)] for c in self._keys(m)]
+        return [c for m in self._paths[id(matched)] for c in (*self._keys(m), *self._fields_in_keys.get(id(m), []))]
 
     def _aggregated(self, child: Matched, keys: list[str], fields: list[str]) -> DataFrame:
         rows = self._level(child, keys, fields)

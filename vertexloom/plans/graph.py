@@ -57,6 +57,7 @@ class VertexType:
     unique: tuple[tuple[str, ...], ...] = ()
     checks: tuple[Check, ...] = ()
     owned: bool = True  # its table may be rewritten
+    key_unique: bool = False  # no two rows have one key; ``constraint_report`` counts those that do
 
     @property
     def own_label(self) -> str:

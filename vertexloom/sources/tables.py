@@ -5,6 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def in_utc(rows: DataFrame) -> DataFrame:
+    """Times without a zone as instants, read as UTC whatever the session's zone; so they have a
+    canonical form in responses."""
+    zoned = {f.name: F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(f"`{f.name}`")).cast("timestamp") for f in rows.schema if isinstance(f.dataType, T.TimestampNTZType)}
+    return rows.withColumns(zoned) if zoned else rows
 
 
 class Tables:
@@ -20,9 +29,10 @@ class Tables:
         return self._seen[name]
 
     @classmethod
-    def in_directory(cls, spark: SparkSession, path: str, format: str = "parquet") -> Tables:
-        """One file or folder for each table, named ``<table>.<format>``."""
-        return cls(lambda name: spark.read.format(format).load(f"{path}/{name}.{format}"))
+    def in_directory(cls, spark: SparkSession, path: str, format: str = "parquet", resolve: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> Tables:
+        """One file or folder for each table, named ``<table>.<format>``; ``resolve`` may cast or
+        rename columns, as ``in_utc`` does."""
+        return cls(lambda name: resolve(spark.read.format(format).load(f"{path}/{name}.{format}")))
 
     @classmethod
     def in_catalog(cls, spark: SparkSession, schema: str | None = None) -> Tables:
