@@ -261,3 +261,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 def is_contaminated():
     """At least a twentieth of the words is hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+#: DuckDB SQL of the query: every occurrence of every window, and the words that it covers.
+ORACLE = r"""
+WITH pattern AS (SELECT '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+' AS words, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS upper),
+docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, upper, lower(upper)), words), []) AS w
+    FROM documents, pattern
+),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, upper, lower(upper)), words) AS w FROM benchmark, pattern),
+starts AS (SELECT item, w, least(len(w), 13) AS n, unnest(range(1, len(w) - least(len(w), 13) + 2)) AS p FROM items WHERE len(w) > 0),
+windows AS (SELECT DISTINCT item, n, array_to_string(w[p : p + n - 1], ' ') AS phrase FROM starts),
+places AS (
+    SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS p
+    FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+),
+found AS (
+    SELECT r, p, n, item
+    FROM (SELECT r, p, n, array_to_string(w[p : p + n - 1], ' ') AS phrase FROM places) JOIN windows USING (n, phrase)
+),
+hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT r, p, n FROM found)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""

@@ -82,4 +82,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_top_k": topk.ORACLE, "op7_sharding": sharding.ORACLE.format(limit=SHARDS.limit_bytes), "op9_mixing": mixing.ORACLE}
+    return {
+        "op1_near_duplicates": near_duplicates.ORACLE,
+        "op3_top_k": topk.ORACLE,
+        "op6_decontaminate": decontaminate.ORACLE,
+        "op7_sharding": sharding.ORACLE.format(limit=SHARDS.limit_bytes),
+        "op9_mixing": mixing.ORACLE,
+    }

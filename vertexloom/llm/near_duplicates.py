@@ -439,3 +439,23 @@ def without_near_duplicates(docs: DataFrame, settings: NearDuplicateSettings = N
     single = rows.join(repeated, at == F.col("id"), "left_anti")
     several = rows.join(repeated, at == F.col("id"), "left_semi").groupBy(at.alias("id"), text.alias("digest"))
     return single.union(several.agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")).select("row.*")
+
+
+#: DuckDB SQL of the query with four words a shingle: all pairs that share a shingle, counted in
+#: full, and what each document can reach over the links.
+ORACLE = r"""
+WITH RECURSIVE docs AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+    FROM documents
+),
+starts AS (SELECT doc_id, w, least(len(w), 4) AS n, unnest(range(1, len(w) - least(len(w), 4) + 2)) AS p FROM docs WHERE len(w) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[p : p + n - 1], ' ') AS shingle FROM starts),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= 80 * (x.n + y.n - n_both)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT doc_id, doc_id AS other FROM docs UNION SELECT reached.doc_id, ways.b FROM reached JOIN ways ON ways.a = reached.other),
+least_reached AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM docs JOIN least_reached USING (doc_id) LEFT JOIN sizes USING (doc_id)
+"""
