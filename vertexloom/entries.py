@@ -270,15 +270,29 @@ _DANGLING = " UNION ALL ".join(
 )
 
 
+def _number(column: str) -> str:
+    return f"regexp_replace(CAST({column} AS VARCHAR), '\\.0$', '')"
+
+
+_OBJECTS = (
+    f"WITH l AS (SELECT DISTINCT l_orderkey AS k, l_partkey, l_suppkey, '{{\"price\":' || {_number('l_extendedprice')} || ',\"quantity\":' || {_number('l_quantity')} || '}}' AS o FROM lineitem), ll AS (SELECT k, "
+    + _LIST.format("o", "l_partkey, l_suppkey, o")
+    + " AS l FROM l GROUP BY k), o AS (SELECT o_custkey AS k, "
+    + _LIST.format(f"'{{\"lines\":' || ll.l || ',\"total\":' || {_number('o_totalprice')} || '}}'", "o_orderkey")
+    + f" AS l FROM orders JOIN ll ON ll.k = o_orderkey GROUP BY 1) SELECT c_custkey AS v0_k, '{{\"balance\":' || {_number('c_acctbal')} || ',\"name\":\"' || c_name || '\",\"orders\":' || o.l || '}}' AS object FROM customer JOIN o ON o.k = c_custkey"
+)
+_VALUES = f"(SELECT string_agg({_number('x')}, ',' ORDER BY i) FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i))"
+
+
 OTHERS: dict[str, tuple[Query, str | None]] = {
-    "shaped_objects": (shaped_objects, None),
+    "shaped_objects": (shaped_objects, _OBJECTS),
     "shaped_type_names": (shaped_type_names, "SELECT r_regionkey AS v0_k, '{\"__typename\":\"Region\",\"name\":\"' || r_name || '\"}' AS object FROM region"),
     "graph_join_table": (graph_join_table, "SELECT c_name AS v0_c0, o_orderkey AS v1_k, sum(l_quantity) AS quantity FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY ALL"),
     "scalar_canonical_json": (
         scalar_canonical_json,
         "SELECT c_custkey, '\"' || c_name || '\"' AS name, regexp_replace(CAST((c_custkey % 1000) / 4.0 AS DOUBLE)::VARCHAR, '\\.0$', '') AS quarter FROM customer",
     ),
-    "scalar_list": (scalar_list, None),
+    "scalar_list": (scalar_list, f"SELECT vec_id AS v0_k, '{{\"label\":' || label || ',\"values\":[' || {_VALUES} || ']}}' AS object FROM embeddings"),
     "scalar_json_document": (scalar_json_document, "SELECT event_id AS v0_k, '{\"props\":' || replace(props, ' ', '') || '}' AS object FROM events"),
     "numeric_cast": (numeric_cast, "SELECT p_partkey, p_size || '.00' AS size FROM part"),
     "raw_rows": (raw_rows, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'"),

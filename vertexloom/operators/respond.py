@@ -2,7 +2,8 @@
 
 Every level is one row for each distinct path to it, and is aggregated to its parent before the
 siblings of a branch point meet, so branches never multiply. A chain needs no join at all: each
-level groups the one below. Lists are ordered by their level's key, nulls last.
+level groups the one below. Lists are ordered by their level's key, nulls last, and
+objects of equal keys by their text.
 
 ``objects`` gives a row for each root object, spread over the cluster; ``response`` gathers them
 into the one row of a response, so it is for results that one task can hold.
