@@ -299,8 +299,8 @@ def _model(known: DataFrame, settings: ToxicitySettings, weights: tuple[float, f
 
     made = known.select("body", "y", "o").mapInArrow(bags, "bag binary, y int, o long")
     every = F.explode(F.sequence(F.lit(0), F.lit(settings.folds))).alias("model")
-    # The sample is bounded by most_documents, so one task may train a model on it.
-    trained = made.select(every, "bag", "y", "o").repartition(settings.folds + 1, "model").mapInArrow(fit, "model int, rarity binary, pull binary, bias double, odds array<double>, labels array<long>")
+    # The sample is bounded by most_documents, so one task may train a model on it; each has its own.
+    trained = made.select(every, "bag", "y", "o").repartitionById(settings.folds + 1, F.col("model")).mapInArrow(fit, "model int, rarity binary, pull binary, bias double, odds array<double>, labels array<long>")
     found = {r["model"]: r for r in trained.collect()}
     if 0 not in found:
         return None
