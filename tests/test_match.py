@@ -5,6 +5,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from vertexloom.errors import DepthExceeded, GraphError, QueryError
 from vertexloom.operators.match import Matcher, match
@@ -179,3 +180,34 @@ def test_graph_refusals():
     with pytest.raises(GraphError):
         PropertyGraph([VertexType("A", "a", ("id",), {})], [], [Interface("I", ("x",), ("A",))])
     assert GRAPH.inverse("Person", "follows") == "followedBy"
+
+
+def towns():
+    town = VertexType("Town", "town", ("t",), {"name": "n"}, {"people": Relationship("lives", "Person", Direction.IN), "shops": Relationship("lies", "Shop", Direction.IN)}, key_unique=True, hub=True)
+    person = VertexType("Person", "people", ("p",), {"name": "m"}, {"town": Relationship("lives", "Town")}, key_unique=True)
+    shop = VertexType("Shop", "shops", ("s",), {"name": "o"}, key_unique=True)
+    return PropertyGraph([town, person, shop], [EdgeElement("lives", "people", "Person", ("p",), "Town", ("home",)), EdgeElement("lies", "shops", "Shop", ("s",), "Town", ("place",))])
+
+
+def town_tables(spark, people, shops):
+    return Tables.of({"town": spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d")], "t int, n string"), "people": spark.createDataFrame(people, "p int, m string, home int"), "shops": spark.createDataFrame(shops, "s int, o string, place int")})
+
+
+def test_rows_that_meet_in_a_hub_are_kept_once(spark):
+    # Town 2 has no shops, town 3 no people, town 4 neither; one person has no home.
+    read = town_tables(spark, [(1, "x", 1), (2, "x", 1), (3, "y", 2), (4, "y", 2), (5, "x", None)], [(1, "q", 1), (2, "q", 1), (3, "q", 3)])
+    both = (Level("people", ("name",)), Level("shops", ("name",)))
+    found = sorted(((r["v0_k"], r["v2_k"], r["v4_k"]) for r in Matcher(towns(), read, Level("Town", ("name",), follow=both)).rows.collect()), key=str)
+    assert found == sorted([(1, p, s) for p in (1, 2) for s in (1, 2)] + [(2, 3, None), (2, 4, None), (3, None, 3), (4, None, None)], key=str)
+    chain = Matcher(towns(), read, Level("Person", ("name",), follow=(Level("town", ("name",), follow=both),))).rows.collect()
+    found = sorted(((r["v0_k"], r["v3_k"], r["v5_k"]) for r in chain), key=str)
+    assert found == sorted([(a, 3 - a, s) for a in (1, 2) for s in (1, 2)] + [(3, 4, None), (4, 3, None)], key=str)
+
+
+def test_pairs_of_one_hub_are_made_by_many_tasks(spark):
+    read = town_tables(spark, [(i, "x", 1) for i in range(200)], [(i, "q", 1) for i in range(50)])
+    both = (Level("people", ("name",)), Level("shops", ("name",)))
+    for query, pairs in ((Level("Town", ("name",), {"name": "a"}, both), 200 * 50), (Level("Person", ("name",), follow=(Level("town", ("name",), follow=(Level("people", ("name",)),)),)), 200 * 199)):
+        tasks = [r["count"] for r in Matcher(towns(), read, query).rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == pairs
+        assert max(tasks) < pairs / 5

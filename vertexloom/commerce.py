@@ -12,7 +12,7 @@ LINE_KEY = ("l_orderkey", "l_partkey", "l_suppkey")
 
 GRAPH = PropertyGraph(
     vertices=[
-        VertexType("Region", "region", ("r_regionkey",), {"key": "r_regionkey", "name": "r_name"}, {"nations": Relationship("in_region", "Nation", IN)}, key_unique=True),
+        VertexType("Region", "region", ("r_regionkey",), {"key": "r_regionkey", "name": "r_name"}, {"nations": Relationship("in_region", "Nation", IN)}, key_unique=True, hub=True),
         VertexType(
             "Nation",
             "nation",
@@ -20,6 +20,7 @@ GRAPH = PropertyGraph(
             {"key": "n_nationkey", "name": "n_name"},
             {"region": Relationship("in_region", "Region"), "customers": Relationship("in_nation", "Customer", IN), "suppliers": Relationship("in_nation", "Supplier", IN)},
             key_unique=True,
+            hub=True,
         ),
         VertexType(
             "Customer",

@@ -11,6 +11,11 @@ that end's key, and the key is declared unique (``key_unique``), the vertex scan
 other key and no join of the table with itself is made. A branch doesn't read its branch point again, as the join with it
 implies that the row is there.
 
+A vertex type may be declared a ``hub``: few rows that very many lead to. Where many rows meet many
+others in one, their pairs are dealt over cells: every row of the left falls in one cell by its
+hash, and the right is copied to each. So the pairs of a single hub are made by many tasks, in
+memory that holds one hub's rows of the right and no pairs. Branches that meet in a hub are joined last.
+
 Output columns: ``v<n>_k`` (or ``_k0``, ``_k1``, ...) is the key of position n and ``v<n>_c<m>`` its
 m-th field; positions are numbered in the order of the query, a branch taking a number for its
 branch point.
@@ -31,11 +36,16 @@ from ..plans.query import MOST_DEPTH, Level, Param, validate
 from ..sources.tables import Tables
 
 
+#: Cells that the pairs of one hub are dealt over, and the partitions that hold the cells.
+CELLS, CELL_PARTITIONS = 64, 128
+
+
 @dataclass
 class Position:
     number: int
     owner: str
     types: tuple[VertexType, ...]
+    repeats: bool = False  # several rows lead to one of it
 
     @property
     def alias(self) -> str:
@@ -56,6 +66,10 @@ class Position:
         """The column that says which table a row comes from, where there are several."""
         return f"{self.alias}_t" if len(self.types) > 1 else None
 
+    @property
+    def hub(self) -> bool:
+        return any(t.hub for t in self.types)
+
     @property
     def table_name(self) -> Column:
         return F.col(self.tag) if self.tag else F.lit(self.types[0].table)
@@ -81,6 +95,8 @@ class Fragment:
     parent: Fragment | None = None
     on: Column | None = None
     branch_point: Position | None = None
+    start: Position | None = None  # the branch point as the fragment's own columns name it
+    many: bool = False  # many rows of the branch lead to one branch point
     positions: list[tuple[Position, list[str]]] = field(default_factory=list)  # with the columns that hold the key
 
     def joined(self) -> DataFrame:
@@ -106,6 +122,19 @@ def _same(left: list[str], right: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x) == F.col(y) for x, y in zip(left, right, strict=True)])
 
 
+def _dealt(frame: DataFrame) -> DataFrame:
+    return frame.repartition(CELL_PARTITIONS, *frame.columns)
+
+
+def _in_cells(left: DataFrame, right: DataFrame, on: Column, left_keys: list[str], right_keys: list[str], how: str) -> DataFrame:
+    """The join of many rows with many that share a key. A row of the left lies in one cell, so a
+    left join keeps a row without a match once."""
+    left = left.withColumn("left_cell", F.pmod(F.xxhash64(*left.columns), F.lit(CELLS)).cast("int")).repartition(CELL_PARTITIONS, *left_keys, "left_cell")
+    right = right.withColumn("right_cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))).repartition(CELL_PARTITIONS, *right_keys, "right_cell")
+    # Not broadcast: a size is estimated without the copies.
+    return left.join(right.hint("merge"), on & (F.col("left_cell") == F.col("right_cell")), how).drop("left_cell", "right_cell")
+
+
 class Matcher:
     """Plans one query. ``rows`` is the flat result; ``root`` says where each level lies in it."""
 
@@ -124,10 +153,39 @@ class Matcher:
     def rows(self) -> DataFrame:
         """One row for each match, unordered."""
         frame = self.fragments[0].frame
-        for branch in self.fragments[1:]:
-            frame = frame.join(branch.frame, branch.on, "left")
+        met: set[int] = set()  # hubs that many rows were joined with
+        piled = False  # a task may hold all rows of a hub
+        for branch in self._join_order():
+            point = branch.branch_point
+            if not (point.hub and branch.many):
+                frame = (_dealt(frame) if piled else frame).join(branch.frame, branch.on, "left")
+                piled = False
+            elif point.repeats or point.number in met:
+                left, right = point.keys, branch.start.join_keys
+                if point.tag:
+                    left, right = [*left, point.tag], [*right, branch.start.tag]
+                frame = _in_cells(frame, branch.frame, branch.on, left, right, "left")
+                met.add(point.number)
+                piled = False
+            else:
+                frame = frame.join(branch.frame, branch.on, "left")
+                met.add(point.number)
+                piled = True
         return frame.select(*self._outputs)
 
+    def _join_order(self) -> list[Fragment]:
+        """The branches, each after its parent: those that meet in hubs last, and of them those
+        first that branch further."""
+        parents = [id(f.parent) for f in self.fragments]
+        last = {id(f): (f.branch_point.hub and f.many, id(f) not in parents) for f in self.fragments[1:]}
+        waiting, joined, out = self.fragments[1:], {id(self.fragments[0])}, []
+        while waiting:
+            branch = min((f for f in waiting if id(f.parent) in joined), key=lambda f: last[id(f)])
+            waiting = [f for f in waiting if f is not branch]
+            joined.add(id(branch))
+            out.append(branch)
+        return out
+
     @property
     def columns(self) -> list[str]:
         return list(self._outputs)
@@ -230,7 +288,7 @@ class Matcher:
     def _branch(self, point: Position, parent: Fragment) -> tuple[Fragment, Position]:
         """A fragment that begins at a branch point: only its key, which the join checks."""
         start = self._new_position(point.owner)
-        fragment = Fragment(None, parent, _same(start.join_keys, point.keys), point)
+        fragment = Fragment(None, parent, _same(start.join_keys, point.keys), point, start)
         if start.tag:
             fragment.on = fragment.on & (F.col(start.tag) == F.col(point.tag))
         fragment.positions.append((start, start.join_keys))
@@ -248,9 +306,17 @@ class Matcher:
             out = [f"{position.alias}_n{i}" for i in range(len(near_key))] if frame is not None else near_keys
             rows, fields = self._scan(position, level, carried | dict(zip(out, near_key, strict=True)))
             rows = rows.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in position.keys]))
-            fragment.frame = rows if frame is None else frame.join(rows, _same(near_keys, out)).drop(*out)
+            position.repeats = near.repeats
+            fragment.many = fragment.many or frame is None
+            if frame is None:
+                fragment.frame = rows
+            elif near.hub and near.repeats:
+                fragment.frame = _in_cells(frame, rows, _same(near_keys, out), near_keys, out, "inner").drop(*out)
+            else:
+                fragment.frame = frame.join(rows, _same(near_keys, out)).drop(*out)
             return fields
         rows, fields = self._scan(position, level, carried)
+        position.repeats = True
         if with_near is not None:
             _, (_, far_key) = self._ends(with_near, rel.direction)
             kind = self.graph.vertices[near.owner]

@@ -58,6 +58,7 @@ class VertexType:
     checks: tuple[Check, ...] = ()
     owned: bool = True  # its table may be rewritten
     key_unique: bool = False  # no two rows have one key; ``constraint_report`` counts those that do
+    hub: bool = False  # few rows that very many of other tables lead to
 
     @property
     def own_label(self) -> str:
