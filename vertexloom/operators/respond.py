@@ -16,6 +16,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.canonical import canonical, text
 from ..plans.graph import PropertyGraph
@@ -76,7 +77,15 @@ class Responder:
             self._fields_in_keys[id(matched)] = own
         if len(matched.children) == 1:
             return self._aggregated(matched.children[0], keys, fields)
-        rows = self._source(matched).groupBy(*keys).agg(*[F.first(c).alias(c) for c in fields]) if fields else self._source(matched).select(*keys).distinct()
+        rows = self._source(matched)
+        if not matched.children and len(self._paths[id(matched)]) > 2:
+            # Dealt by the path above, so that the lists of the next level need no further shuffle.
+            rows = rows.repartition(*[c for m in self._paths[id(matched)][:-1] for c in self._keys(m)])
+        # A text that follows from the keys is grouped by, since a first text would need a sort.
+        texts = {f.name for f in rows.schema if isinstance(f.dataType, T.StringType)}
+        firsts = [F.first(c).alias(c) for c in fields if c not in texts]
+        group = [*keys, *[c for c in fields if c in texts]]
+        rows = rows.groupBy(*group).agg(*firsts) if firsts else rows.select(*group).distinct()
         for child in matched.children:
             lists = self._aggregated(child, self._path_keys(matched), [])
             renamed = lists.select(*[F.col(k).alias(f"{k}_of") for k in self._path_keys(matched)], self._list_column(child))
