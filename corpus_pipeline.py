@@ -16,6 +16,8 @@ from vertexloom.llm.common import materialize, table
 #: SQL can't express the trained and the hashed stages; tests hold them against plain Python.
 ORACLE_SQL = None
 TOXIC_FROM = 0.3
+#: Few, as Spark reuses Python workers and they go on holding them in other stages.
+KEPT_PIECES = 100_000
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in ORC files; what they hold of each document."""
-    return token_output.token_ids_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.token_ids_round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), kept_pieces=KEPT_PIECES)
 
 
 STAGES = [

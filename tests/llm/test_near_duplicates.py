@@ -145,3 +145,20 @@ def test_rows_shipped_grow_with_the_bucket(spark):
         prefixes = n._prefix_members(spark.range(size).withColumnRenamed("id", "node"), sets, NearDuplicateSettings(shingle_words=4))
         shipped.append(n._groups_to_compare(prefixes, spark.createDataFrame([], "node bigint, label bigint")).count())
     assert shipped[1] <= 10 * shipped[0]
+
+
+def test_memory_of_a_worker_is_bounded():
+    """Spark reuses Python workers: what they keep stays in the way of every later stage."""
+    import tracemalloc
+
+    from vertexloom.llm import near_duplicates as module
+
+    texts = [b"some words of a text " * 50] * (module.SLICE_BYTES // 1050)
+    module.shingle_sets(texts, 5)
+    assert sum(kept.nbytes for kept in module._cache.values()) <= 20 << 20
+    tracemalloc.start()
+    try:
+        module.shingle_sets(texts, 5)
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    finally:
+        tracemalloc.stop()

@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import new_path
 
 DOCUMENTS_AT_ONCE = 256
+KEPT_PIECES = 600_000
 
 
 class _OtherSpace(Exception):
@@ -53,7 +54,7 @@ _PARTS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+")
 class PieceIds(dict):
     """The ids, as little-endian unsigned 32-bit integers, of a space and what follows it."""
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = KEPT_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -130,24 +131,25 @@ class PieceIds(dict):
             return self.encode(text)
 
 
-_ENCODERS: dict[str, PieceIds] = {}
+_ENCODERS: dict[tuple[str, int], PieceIds] = {}
 
 
-def _encoder(path: str) -> PieceIds:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceIds(path)
-    return _ENCODERS[path]
+def _encoder(path: str, most: int) -> PieceIds:
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = PieceIds(path, most)
+    return _ENCODERS[path, most]
 
 
-def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", row_stride: int = 10_000, stripe_bytes: int = 64 << 20) -> str:
-    """Write the ids of all documents in ascending order of the id; return ``path``."""
+def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", row_stride: int = 10_000, stripe_bytes: int = 64 << 20, kept_pieces: int = KEPT_PIECES) -> str:
+    """Write the ids of all documents in ascending order of the id; return ``path``. A Python worker
+    goes on holding up to ``kept_pieces`` pieces, about 150 bytes each."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("tie"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
     end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, start = _encoder(tokenizer_path, kept_pieces), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, DOCUMENTS_AT_ONCE):
                 piece = batch.slice(at, DOCUMENTS_AT_ONCE)
