@@ -15,7 +15,7 @@ from vertexloom.llm.decontaminate import Phrases, contamination, find_spans, is_
 from vertexloom.llm.mixing import MixSettings, mix, mixed_documents
 from vertexloom.llm.sharding import ShardSettings, shards, write_shards
 from vertexloom.llm.token_count import count_tokens
-from vertexloom.llm.token_output import read_token_ids, token_ids_round_trip, write_token_ids
+from vertexloom.llm.token_output import PieceIds, read_token_ids, token_ids_round_trip, write_token_ids
 
 ALPHABET = ["a", "the", "ing", " ", "  ", "\n", "'s", "é", "ß", "日本", "123", ".", "!!", "<|endoftext|>", "<s>", "▁", "😀", "\x00", "\x1c", "\xa0", "%%%", "Word", "WORD"]
 
@@ -77,6 +77,16 @@ def test_token_file_has_indexes(spark, tmp_path):
     assert "EqualTo(doc_id,7)" in plan
 
 
+def test_pieces_over_two_lines_are_not_kept():
+    """They hardly ever come again, and would crowd out words that do."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = PieceIds(path, most=100)
+    for i in range(300):
+        text = f"it was there.\nLine{i}a begins on x{i}b\ny"
+        assert np.frombuffer(pieces.of_text(text), "<u4").tolist() == pieces.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"was", "begins", "on"} <= set(pieces) and not any("\n" in p for p in pieces)
+
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 

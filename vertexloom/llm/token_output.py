@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import new_path
 
 DOCUMENTS_AT_ONCE = 256
-KEPT_PIECES = 600_000
+KEPT_PIECES = 800_000
 
 
 class _OtherSpace(Exception):
@@ -114,6 +114,9 @@ class PieceIds(dict):
             raise _OtherSpace
         else:
             ids = self.piece(piece)
+            # What goes on in another line hardly ever comes again.
+            if "\n" in piece:
+                return ids
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.clear()
@@ -142,7 +145,7 @@ def _encoder(path: str, most: int) -> PieceIds:
 
 def write_token_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", row_stride: int = 10_000, stripe_bytes: int = 64 << 20, kept_pieces: int = KEPT_PIECES) -> str:
     """Write the ids of all documents in ascending order of the id; return ``path``. A Python worker
-    goes on holding up to ``kept_pieces`` pieces, about 150 bytes each."""
+    goes on holding up to ``kept_pieces`` pieces; 600,000 took 100 MB."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("body"), F.xxhash64(text_col).alias("tie"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
