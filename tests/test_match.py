@@ -211,3 +211,19 @@ def test_pairs_of_one_hub_are_made_by_many_tasks(spark):
         tasks = [r["count"] for r in Matcher(towns(), read, query).rows.groupBy(F.spark_partition_id()).count().collect()]
         assert sum(tasks) == pairs
         assert max(tasks) < pairs / 5
+
+
+def written(spark):
+    """Rows that the session's stages gave to shuffles."""
+    jvm = spark._jvm
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_few_copies_are_made_for_many_hubs(spark):
+    towns_, people = 32, 640
+    read = Tables.of({"town": spark.createDataFrame([(i, "a") for i in range(towns_)], "t int, n string"), "people": spark.createDataFrame([(i, "x", i % towns_) for i in range(people)], "p int, m string, home int")})
+    query = Level("Person", ("name",), follow=(Level("town", ("name",), follow=(Level("people", ("name",)),)),))
+    before = written(spark)
+    assert Matcher(towns(), read, query).rows.count() == people * (people // towns_ - 1)
+    assert written(spark) - before < people * 10

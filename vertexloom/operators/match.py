@@ -13,8 +13,11 @@ implies that the row is there.
 
 A vertex type may be declared a ``hub``: few rows that very many lead to. Where many rows meet many
 others in one, their pairs are dealt over cells: every row of the left falls in one cell by its
-hash, and the right is copied to each. So the pairs of a single hub are made by many tasks, in
-memory that holds one hub's rows of the right and no pairs. Branches that meet in a hub are joined last.
+hash, and the right is copied to each. A hub has cells in proportion to its rows of the left, so
+what is copied grows with the tables and not with the number of hubs. So the pairs of a single hub
+are made by many tasks, in memory that holds one hub's rows of the right and no pairs. Branches that
+meet in a hub are joined last; those that meet in the same one share the cells, and the pairs of the
+first don't travel before they meet the next.
 
 Output columns: ``v<n>_k`` (or ``_k0``, ``_k1``, ...) is the key of position n and ``v<n>_c<m>`` its
 m-th field; positions are numbered in the order of the query, a branch taking a number for its
@@ -36,8 +39,10 @@ from ..plans.query import MOST_DEPTH, Level, Param, validate
 from ..sources.tables import Tables
 
 
-#: Cells that the pairs of one hub are dealt over, and the partitions that hold the cells.
+#: Cells that the pairs of one hub are dealt over if it has all rows, and the partitions that hold the cells.
 CELLS, CELL_PARTITIONS = 64, 128
+#: Rows of the left in a cell below which they don't spread a hub's pairs.
+FEW = 8
 
 
 @dataclass
@@ -97,6 +102,7 @@ class Fragment:
     branch_point: Position | None = None
     start: Position | None = None  # the branch point as the fragment's own columns name it
     many: bool = False  # many rows of the branch lead to one branch point
+    paired: bool = False  # holds all pairs of a hub
     positions: list[tuple[Position, list[str]]] = field(default_factory=list)  # with the columns that hold the key
 
     def joined(self) -> DataFrame:
@@ -126,13 +132,66 @@ def _dealt(frame: DataFrame) -> DataFrame:
     return frame.repartition(CELL_PARTITIONS, *frame.columns)
 
 
-def _in_cells(left: DataFrame, right: DataFrame, on: Column, left_keys: list[str], right_keys: list[str], how: str) -> DataFrame:
-    """The join of many rows with many that share a key. A row of the left lies in one cell, so a
-    left join keeps a row without a match once."""
-    left = left.withColumn("left_cell", F.pmod(F.xxhash64(*left.columns), F.lit(CELLS)).cast("int")).repartition(CELL_PARTITIONS, *left_keys, "left_cell")
-    right = right.withColumn("right_cell", F.explode(F.sequence(F.lit(0), F.lit(CELLS - 1)))).repartition(CELL_PARTITIONS, *right_keys, "right_cell")
+def _hubs(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """(hub_0, .., hub_rows, hub_cells), a row for each hub: its rows and its share of the cells."""
+    rows = frame.groupBy(*[F.col(k).alias(f"hub_{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("hub_rows"))
+    gathered = rows.agg(F.collect_list(F.struct(*rows.columns)).alias("hubs"), F.sum("hub_rows").alias("all_rows"))
+    return gathered.select(F.inline("hubs"), "all_rows").select(*rows.columns, F.ceil(CELLS * F.col("hub_rows") / F.col("all_rows")).cast("int").alias("hub_cells"))
+
+
+def _at_hub(frame: DataFrame, keys: list[str], hubs: DataFrame, how: str) -> DataFrame:
+    return frame.join(F.broadcast(hubs), _same(keys, [f"hub_{i}" for i in range(len(keys))]), how)
+
+
+def _left_cells(left: DataFrame, keys: list[str], hubs: DataFrame | None) -> DataFrame:
+    """Deal rows over the cells of their hubs. Rows without a hub meet nothing and may lie anywhere."""
+    cell = F.xxhash64(*left.columns)
+    if hubs is None:
+        dealt = left.withColumn("left_cell", F.pmod(cell, F.lit(CELLS)).cast("int"))
+    else:
+        columns = left.columns
+        dealt = _at_hub(left, keys, hubs, "left").select(*columns, F.pmod(cell, F.coalesce("hub_cells", F.lit(CELLS))).cast("int").alias("left_cell"))
+    return dealt.repartition(CELL_PARTITIONS, *keys, "left_cell")
+
+
+def _meet(left: DataFrame, right: DataFrame, on: Column, keys: list[str], hubs: DataFrame | None, how: str) -> DataFrame:
+    """The join of dealt rows with the copies of the right. A row of the left lies in one cell, so
+    a left join keeps a row without a match once."""
+    columns = right.columns
+    cells = F.lit(CELLS)
+    if hubs is not None:
+        right, cells = _at_hub(right, keys, hubs, "inner"), F.col("hub_cells")
+    right = right.select(*columns, F.explode(F.sequence(F.lit(0), cells - 1)).alias("right_cell")).repartition(CELL_PARTITIONS, *keys, "right_cell")
     # Not broadcast: a size is estimated without the copies.
-    return left.join(right.hint("merge"), on & (F.col("left_cell") == F.col("right_cell")), how).drop("left_cell", "right_cell")
+    return left.join(right.hint("merge"), on & (F.col("left_cell") == F.col("right_cell")), how).drop("right_cell")
+
+
+def _in_cells(left: DataFrame, right: DataFrame, on: Column, left_keys: list[str], right_keys: list[str], how: str, counted: bool) -> DataFrame:
+    """The join of many rows with many that share a key. Unless ``counted``, every hub has all cells."""
+    hubs = _hubs(left, left_keys) if counted else None
+    return _meet(_left_cells(left, left_keys, hubs), right, on, right_keys, hubs, how).drop("left_cell")
+
+
+def _all_in_cells(left: DataFrame, rights: list[tuple[DataFrame, Column, list[str]]], keys: list[str], counted: bool) -> DataFrame:
+    """The left joins of many rows with several branches (rows, condition, keys) of the same hubs.
+    All meet in the cells that the left was dealt over. The rows of hubs that have few don't spread
+    so, and neither do they have many pairs with one branch: those are dealt again."""
+    if not counted:
+        dealt = _left_cells(left, keys, None)
+        for right, on, right_keys in rights:
+            dealt = _meet(dealt, right, on, right_keys, None, "left")
+        return dealt.drop("left_cell")
+    columns = left.columns
+    hubs = _hubs(left, keys)
+    few = F.col("hub_rows") < FEW * F.col("hub_cells")
+    at = _at_hub(left, keys, hubs, "left")
+    spread = _left_cells(at.where(~few).select(*columns), keys, hubs.where(~few))
+    again = at.where(few | F.col("hub_rows").isNull()).select(*columns)
+    every = hubs.where(few).withColumn("hub_cells", F.lit(CELLS))
+    for right, on, right_keys in rights:
+        spread = _meet(spread, right, on, right_keys, hubs.where(~few), "left")
+        again = _meet(_left_cells(again, keys, every), right, on, right_keys, every, "left").drop("left_cell")
+    return spread.drop("left_cell").unionByName(again)
 
 
 class Matcher:
@@ -154,19 +213,28 @@ class Matcher:
         """One row for each match, unordered."""
         frame = self.fragments[0].frame
         met: set[int] = set()  # hubs that many rows were joined with
+        paired = any(f.paired for f in self.fragments)
         piled = False  # a task may hold all rows of a hub
-        for branch in self._join_order():
+        waiting = self._join_order()
+        while waiting:
+            branch = waiting.pop(0)
             point = branch.branch_point
             if not (point.hub and branch.many):
                 frame = (_dealt(frame) if piled else frame).join(branch.frame, branch.on, "left")
                 piled = False
             elif point.repeats or point.number in met:
-                left, right = point.keys, branch.start.join_keys
-                if point.tag:
-                    left, right = [*left, point.tag], [*right, branch.start.tag]
-                frame = _in_cells(frame, branch.frame, branch.on, left, right, "left")
+                together = [branch]
+                while waiting and waiting[0].branch_point is point and waiting[0].many:
+                    together.append(waiting.pop(0))
+                rights = [(b.frame, b.on, [*b.start.join_keys, *([b.start.tag] if point.tag else [])]) for b in together]
+                left = [*point.keys, *([point.tag] if point.tag else [])]
+                if len(rights) == 1:
+                    right, on, keys = rights[0]
+                    frame = _in_cells(frame, right, on, left, keys, "left", not paired)
+                else:
+                    frame = _all_in_cells(frame, rights, left, not paired)
                 met.add(point.number)
-                piled = False
+                paired, piled = True, False
             else:
                 frame = frame.join(branch.frame, branch.on, "left")
                 met.add(point.number)
@@ -311,7 +379,8 @@ class Matcher:
             if frame is None:
                 fragment.frame = rows
             elif near.hub and near.repeats:
-                fragment.frame = _in_cells(frame, rows, _same(near_keys, out), near_keys, out, "inner").drop(*out)
+                fragment.frame = _in_cells(frame, rows, _same(near_keys, out), near_keys, out, "inner", not fragment.paired).drop(*out)
+                fragment.paired = True
             else:
                 fragment.frame = frame.join(rows, _same(near_keys, out)).drop(*out)
             return fields
