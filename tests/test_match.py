@@ -227,3 +227,31 @@ def test_few_copies_are_made_for_many_hubs(spark):
     before = written(spark)
     assert Matcher(towns(), read, query).rows.count() == people * (people // towns_ - 1)
     assert written(spark) - before < people * 10
+
+
+def test_pairs_of_a_hub_stay_where_they_meet_the_next_branch(spark):
+    read = town_tables(spark, [(i, "x", 1) for i in range(600)], [(i, "q", 1) for i in range(5)])
+    query = Level("Person", ("name",), follow=(Level("town", ("name",), follow=(Level("people", ("name",)), Level("shops", ("name",)))),))
+    before = written(spark)
+    assert Matcher(towns(), read, query).rows.count() == 600 * 599 * 5
+    assert written(spark) - before < 600 * 599 / 4
+
+
+def test_branches_of_hubs_with_many_and_with_few_rows(spark):
+    # Town 2 has no shops, the only person of town 3 meets nobody, one person has no home and one's town isn't there.
+    homes = [1] * 600 + [2] * 3 + [3, None, 9]
+    places = [1, 1, 3, 3, 3, 4]
+    read = town_tables(spark, [(i, "x", h) for i, h in enumerate(homes)], [(i, "q", p) for i, p in enumerate(places)])
+    town = Level("town", ("name",), follow=(Level("people", ("name",)), Level("shops", ("name",))))
+    for follow, kept in (((town,), (1, 2, 3)), ((town, Level("town", (("again", "name"),), key="t")), (1, 2, 3, None, 9))):
+        found = Matcher(towns(), read, Level("Person", ("name",), follow=follow)).rows
+        person, mate, shop = ("v0_k", *[c for c in found.columns if c.endswith("_k")][2:4])
+        rows = {(r[0], r[1], r[2]): r["count"] for r in found.groupBy(person, mate, shop).count().collect()}
+        expected = {}
+        for i, h in enumerate(homes):
+            if h not in kept:
+                continue
+            mates = [j for j, o in enumerate(homes) if o == h and h in (1, 2, 3) and j != i] or [None]
+            shops = [j for j, p in enumerate(places) if p == h] or [None]
+            expected |= {(i, m, s): 1 for m in mates for s in shops}
+        assert rows == expected
