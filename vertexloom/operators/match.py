@@ -166,23 +166,24 @@ def _meet(left: DataFrame, right: DataFrame, on: Column, keys: list[str], hubs:
     return left.join(right.hint("merge"), on & (F.col("left_cell") == F.col("right_cell")), how).drop("right_cell")
 
 
-def _in_cells(left: DataFrame, right: DataFrame, on: Column, left_keys: list[str], right_keys: list[str], how: str, counted: bool) -> DataFrame:
-    """The join of many rows with many that share a key. Unless ``counted``, every hub has all cells."""
-    hubs = _hubs(left, left_keys) if counted else None
+def _in_cells(left: DataFrame, right: DataFrame, on: Column, left_keys: list[str], right_keys: list[str], how: str, counted: DataFrame | None) -> DataFrame:
+    """The join of many rows with many that share a key. The hubs' shares are those of the rows of
+    ``counted``; without it every hub has all cells."""
+    hubs = None if counted is None else _hubs(counted, left_keys)
     return _meet(_left_cells(left, left_keys, hubs), right, on, right_keys, hubs, how).drop("left_cell")
 
 
-def _all_in_cells(left: DataFrame, rights: list[tuple[DataFrame, Column, list[str]]], keys: list[str], counted: bool) -> DataFrame:
+def _all_in_cells(left: DataFrame, rights: list[tuple[DataFrame, Column, list[str]]], keys: list[str], counted: DataFrame | None) -> DataFrame:
     """The left joins of many rows with several branches (rows, condition, keys) of the same hubs.
     All meet in the cells that the left was dealt over. The rows of hubs that have few don't spread
     so, and neither do they have many pairs with one branch: those are dealt again."""
-    if not counted:
+    if counted is None:
         dealt = _left_cells(left, keys, None)
         for right, on, right_keys in rights:
             dealt = _meet(dealt, right, on, right_keys, None, "left")
         return dealt.drop("left_cell")
     columns = left.columns
-    hubs = _hubs(left, keys)
+    hubs = _hubs(counted, keys)
     few = F.col("hub_rows") < FEW * F.col("hub_cells")
     at = _at_hub(left, keys, hubs, "left")
     spread = _left_cells(at.where(~few).select(*columns), keys, hubs.where(~few))
@@ -214,6 +215,8 @@ class Matcher:
         frame = self.fragments[0].frame
         met: set[int] = set()  # hubs that many rows were joined with
         paired = any(f.paired for f in self.fragments)
+        # What first holds a position, before other branches widen it, has much the same shares.
+        holds = {p.number: frame for p, _ in self.fragments[0].positions}
         piled = False  # a task may hold all rows of a hub
         waiting = self._join_order()
         while waiting:
@@ -222,23 +225,26 @@ class Matcher:
             if not (point.hub and branch.many):
                 frame = (_dealt(frame) if piled else frame).join(branch.frame, branch.on, "left")
                 piled = False
+                holds |= {p.number: frame for p, _ in branch.positions}
             elif point.repeats or point.number in met:
                 together = [branch]
                 while waiting and waiting[0].branch_point is point and waiting[0].many:
                     together.append(waiting.pop(0))
                 rights = [(b.frame, b.on, [*b.start.join_keys, *([b.start.tag] if point.tag else [])]) for b in together]
                 left = [*point.keys, *([point.tag] if point.tag else [])]
+                counted = None if paired else holds[point.number]
                 if len(rights) == 1:
                     right, on, keys = rights[0]
-                    frame = _in_cells(frame, right, on, left, keys, "left", not paired)
+                    frame = _in_cells(frame, right, on, left, keys, "left", counted)
                 else:
-                    frame = _all_in_cells(frame, rights, left, not paired)
+                    frame = _all_in_cells(frame, rights, left, counted)
                 met.add(point.number)
                 paired, piled = True, False
             else:
                 frame = frame.join(branch.frame, branch.on, "left")
                 met.add(point.number)
                 piled = True
+                holds |= {p.number: frame for p in (point, *[p for p, _ in branch.positions])}
         return frame.select(*self._outputs)
 
     def _join_order(self) -> list[Fragment]:
@@ -379,7 +385,7 @@ class Matcher:
             if frame is None:
                 fragment.frame = rows
             elif near.hub and near.repeats:
-                fragment.frame = _in_cells(frame, rows, _same(near_keys, out), near_keys, out, "inner", not fragment.paired).drop(*out)
+                fragment.frame = _in_cells(frame, rows, _same(near_keys, out), near_keys, out, "inner", None if fragment.paired else frame).drop(*out)
                 fragment.paired = True
             else:
                 fragment.frame = frame.join(rows, _same(near_keys, out)).drop(*out)
