@@ -215,6 +215,16 @@ def test_language_of_one_model_equals_plain_probabilities(spark):
         assert abs(e - np.mean([-np.log(plain(g)) for g in grams])) < 1e-5
 
 
+@pytest.mark.parametrize("most", [150, 400])
+def test_language_models_in_blocks_leave_nothing_out(spark, most):
+    rng = random.Random(11)
+    letters = {"aa": "abcdeé 😀", "bb": "abxyzñ 日"}
+    rows = [(i, "".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 80))), lang) for i in range(60) for lang in [("aa", "bb")[i % 2]]] + [(60, None), (61, "!?"), (62, "q")]
+    docs = documents(spark, rows)
+    found = [languages(docs, F.col("doc_id") % 5 == 0, LanguageSettings(most_grams=m)).orderBy("doc_id").collect() for m in (most, 10**6)]
+    assert found[0] == found[1]
+
+
 def test_rare_letters_are_letters(spark):
     docs = documents(spark, [(i, "\U00030000\U00030001\U00030002 " * 5, "zh") for i in range(4)] + [(9 + i, "the house", "en") for i in range(4)] + [(50, "\U00030001\U00030002", "zh")])
     found = {r["doc_id"]: r["lang_pred"] for r in languages(docs, F.col("doc_id") == 50).collect()}
